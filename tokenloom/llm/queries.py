@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, packing, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (bpe, packing, exact_dedup):
+for _module in (bpe, packing, exact_dedup, simhash):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

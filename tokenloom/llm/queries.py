@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, packing, simhash, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (bpe, packing, exact_dedup, simhash):
+for _module in (bpe, packing, exact_dedup, simhash, urls):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

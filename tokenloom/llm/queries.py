@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, simhash, urls
+from . import bpe, chat, exact_dedup, packing, simhash, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (bpe, packing, exact_dedup, simhash, urls):
+for _module in (bpe, packing, exact_dedup, simhash, urls, chat):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, kdtree, packing, simhash, urls
+from . import bpe, chat, exact_dedup, kdtree, packing, simhash, toxicity, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (bpe, packing, exact_dedup, simhash, urls, chat, kdtree):
+for _module in (bpe, packing, exact_dedup, simhash, urls, chat, kdtree, toxicity):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

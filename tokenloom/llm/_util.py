@@ -12,15 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one is made."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenloom-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tokenloom-checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -64,3 +66,13 @@ def bitmap_slot(hash_col: Column) -> Column:
 def bitmap_hit(bits: Column, hash_col: Column) -> Column:
     """Whether a row's slot (null where the slot is empty) has the bit of its key."""
     return F.coalesce(F.call_function("getbit", bits, hash_col.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+
+
+def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that surely have none of ``ids``, all others), by a bitmap of bounded size. No row is shuffled."""
+    slot, bits = names(df, "slot", "bits")
+    h = F.xxhash64(quoted(id_col))
+    wanted = F.broadcast(key_bitmap(ids.select(quoted(id_col)), h, slot, bits))
+    marked = df.withColumn(slot, bitmap_slot(h)).join(wanted, slot, "left")
+    hit = bitmap_hit(F.col(bits), h)
+    return tuple(marked.filter(x).select(*(quoted(c) for c in df.columns)) for x in (~hit, hit))

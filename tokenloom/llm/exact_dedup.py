@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import bitmap_hit, bitmap_slot, cut, key_bitmap, names, quoted, table
+from ._util import bitmap_hit, bitmap_slot, cut, key_bitmap, names, quoted, split_by_ids, table
 
 #: Characters of a text that the second step hashes.
 PREFIX_CHARS = 256
@@ -62,6 +62,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     )
 
 
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that exact_dedup() keeps. Only texts of rows in doubt, those whose id has a copy dropped, are shuffled."""
+    signed = cut(exact_dedup(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "id", hash_all=True))
+    doubt = signed.filter("NOT kept").select(quoted("id").alias(id_col))
+    sure, rest = split_by_ids(df, id_col, doubt)
+    (sha,) = names(df, "sha")
+    kept = signed.filter("kept").select("id", "text_sha256").distinct()
+    rest = rest.withColumn(sha, F.sha2(normalised(quoted(text_col)), 256)).alias("r")
+    rest = rest.join(kept, (F.col(f"r.{sha}") == kept["text_sha256"]) & F.col(f"r.`{id_col}`").eqNullSafe(kept["id"]), "left_semi").dropDuplicates([sha])
+    return sure.union(rest.select(*(quoted(c) for c in df.columns)))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), hash_all=True)
 

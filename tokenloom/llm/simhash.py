@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import cut, quoted, table
+from ._util import cut, names, quoted, split_by_ids, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -247,15 +247,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row: the id, fp (signed long) and component_id, the smallest id that links lead to."""
+    """Per row: the id, fp (signed long), component_id, the smallest id that links lead to, and root, the group's own number."""
     marked = cut(fingerprints(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), words=words))
     points = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(points, radius))
     of = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = of.groupBy("root").agg(F.min("least").alias("component_id"))
     # Points alone need no join back.
-    of = of.join(first, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    of = of.join(first, "root").select("fp", "component_id", "root")
+    return marked.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near-duplicates, that of the smallest id. Only texts of groups of several are shuffled."""
+    marked = cut(near_dedup(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "id"))
+    several = marked.groupBy("root").count().filter("count > 1").select("root")
+    several = cut(marked.join(several, "root", "left_semi"))
+    sure, rest = split_by_ids(df, id_col, several.select(F.col("id").alias(id_col)))
+    fp, copy = names(df, "fp", "copy")
+    rest = fingerprints(rest.withColumn(copy, quoted(text_col)), copy, fp)
+    # By id and fingerprint a row is known; rows of no group of several only looked like one.
+    groups = several.select("id", F.col("fp").alias("f"), "component_id", "root").distinct()
+    met = rest.join(groups, (rest[fp] == groups["f"]) & F.col(f"`{id_col}`").eqNullSafe(groups["id"]), "left")
+    alone = met.filter("root IS NULL")
+    first = met.filter(F.col("root").isNotNull() & F.col("id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return sure.union(alone.select(*sure.columns)).union(first.select(*sure.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

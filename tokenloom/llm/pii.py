@@ -41,8 +41,9 @@ HINTS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 #: Characters on each side of an entity whose words count as near it.
 NEAR = 80
 TERM = r"\p{L}{3,}"
-#: Different contexts, bits of information and probabilities that make a term disclosing.
+#: Different contexts, their least share of all meetings, bits of information and probabilities that make a term disclosing.
 CONTEXTS = 3
+DIVERSITY = 0.5
 BITS = 6.0
 GENERALISE = 0.5
 REMOVE = 0.9
@@ -97,7 +98,7 @@ def matched(text: Column, pattern: str, hint: str | None = None) -> Column:
     return F.when(F.regexp_like(text, F.lit(hint)), found).otherwise(F.array().cast("array<string>")) if hint else found
 
 
-def located(text: Column, found: Column, pattern: str) -> Column:
+def located(text: Column, found: Column, pattern: Column | str) -> Column:
     """(start, end, value, left, right) of each match: left and right are the texts up to the neighbouring matches."""
     gaps = F.split(text, pattern, -1)
     sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
@@ -121,23 +122,24 @@ def with_base(df: DataFrame, text: Column, prefix: str, contexts: bool) -> DataF
     return df.select(*(quoted(c) for c in kept), *made)
 
 
-def disclosing_terms(texts: DataFrame, contexts: int = CONTEXTS, bits: float = BITS, generalise: float = GENERALISE, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(texts: DataFrame, contexts: int = CONTEXTS, bits: float = BITS, generalise: float = GENERALISE, near: int = NEAR, diversity: float = DIVERSITY) -> tuple[DataFrame, DataFrame]:
     """(terms, hits) from ``texts`` (key, text): term with its strongest probability, and (key, term) of all texts that hold one."""
     some = texts.filter(F.regexp_like("text", F.lit("@|[0-9]")))
     base = with_base(some, F.col("text"), "b_", contexts=True)
-    mentions = None
-    for kind in PATTERNS:
-        entity = F.lower(F.col("m.value")) if kind in ("email", "ip") else digits(F.col("m.value"))
-        around = F.concat_ws("\n", F.expr(f"right(m.left, {near})"), F.expr(f"left(m.right, {near})"))
-        one = base.select("key", F.explode(f"b_{kind}").alias("m")).select("key", F.concat(F.lit(kind + ":"), entity).alias("entity"), around.alias("around"))
-        mentions = one if mentions is None else mentions.union(one)
-    mentions = cut(mentions.distinct())
-    near_terms = mentions.select("key", "entity", F.xxhash64("around").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(TERM), F.lit(0)))).alias("term"))
-    # A term and an entity in one text count once, however often they meet there.
-    pairs = near_terms.groupBy("term", "entity", "key").agg(F.collect_set("context").alias("c")).groupBy("term", "entity").agg(F.count("*").alias("together"), F.count_distinct(F.col("c")[0]).alias("contexts"))
+    named = lambda kind: lambda m: F.struct(F.concat(F.lit(kind + ":"), F.lower(m["value"]) if kind in ("email", "ip") else digits(m["value"])).alias("entity"), F.concat_ws("\n", F.right(m["left"], F.lit(near)), F.left(m["right"], F.lit(near))).alias("around"))
+    none = F.array().cast("array<struct<entity:string,around:string>>")
+    every = F.concat(*(F.coalesce(F.transform(f"b_{k}", named(k)), none) for k in PATTERNS))
+    mentions = cut(base.select("key", F.explode(every).alias("m")).select("key", "m.entity", "m.around").distinct())
+    # A meeting's context is the words on both sides of the term.
+    listed = mentions.select("key", "entity", F.regexp_extract_all(F.lower("around"), F.lit(TERM), F.lit(0)).alias("w"))
+    placed = F.transform("w", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("context")))
+    near_terms = listed.select("key", "entity", F.explode(placed).alias("p")).select("key", "entity", "p.term", "p.context")
+    # A term and an entity in one text count once, however often they meet there. Near copies of one
+    # text are many meetings in few contexts: most of the meetings must differ in their context.
+    pairs = near_terms.groupBy("term", "entity", "key").agg(F.min("context").alias("context")).groupBy("term", "entity").agg(F.count("*").alias("together"), F.count_distinct("context").alias("contexts"))
     by_term = near_terms.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("near"))
     # A term occurs in as many texts as it does near entities, at least: most pairs are out by that.
-    open_pairs = cut(pairs.filter(F.col("contexts") >= contexts).join(by_term, "term").filter(F.col("together") >= generalise * F.col("near")))
+    open_pairs = cut(pairs.filter((F.col("contexts") >= contexts) & (F.col("contexts") >= diversity * F.col("together"))).join(by_term, "term").filter(F.col("together") >= generalise * F.col("near")))
     h = F.xxhash64("term")
     wanted = F.broadcast(key_bitmap(open_pairs.select("term").distinct(), h))
     words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -160,8 +162,10 @@ def term_spans(texts: DataFrame, **thresholds: float) -> DataFrame:
     h = F.xxhash64("key")
     wanted = F.broadcast(key_bitmap(held, h))
     few = texts.withColumn("slot", bitmap_slot(h)).join(wanted, "slot").filter(bitmap_hit(F.col("bits"), h)).select("key", "text").dropDuplicates(["key"])
-    found = few.join(held, "key").withColumn("words", matched(F.col("text"), TERM))
-    spans = F.filter(located(F.col("text"), F.col("words"), TERM), lambda x: F.map_contains_key("terms", F.lower(x["value"])))
+    # One pattern a text, of its own terms (letters only); words that are not in lower case like a term drop out after.
+    one_of = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("terms"), "|"), F.lit(r")(?!\p{L})"))
+    found = few.join(held, "key").withColumn("one_of", one_of).withColumn("words", F.regexp_extract_all("text", F.col("one_of"), F.lit(0)))
+    spans = F.filter(located(F.col("text"), F.col("words"), F.col("one_of")), lambda x: F.map_contains_key("terms", F.lower(x["value"])))
     return found.select("key", F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (F.col("terms")[F.lower(x["value"])] >= REMOVE).alias("remove"))).alias("term_spans"))
 
 

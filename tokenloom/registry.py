@@ -1,5 +1,7 @@
 """Registered queries of the retrieval engine."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import corpus_queries, retrieval
+
+QUERIES = retrieval.QUERIES | corpus_queries.QUERIES
+SQL = retrieval.SQL | corpus_queries.SQL
 FLAGSHIP = "int8q_int4_maxsim_topk"

@@ -1,7 +1,7 @@
 """Registered queries of the retrieval engine."""
 
-from .plans import corpus_queries, retrieval
+from .plans import corpus_queries, retrieval  # noqa: F401  (corpus_queries adds its own)
 
-QUERIES = retrieval.QUERIES | corpus_queries.QUERIES
-SQL = retrieval.SQL | corpus_queries.SQL
+QUERIES = retrieval.QUERIES
+SQL = retrieval.SQL
 FLAGSHIP = "int8q_int4_maxsim_topk"

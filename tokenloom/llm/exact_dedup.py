@@ -28,12 +28,12 @@ def normalised(text: Column) -> Column:
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
-    """``df``'s columns without the text, plus keep_id, group_size, kept and text_sha256.
+    """``df``'s columns without the text, plus keep_id, group_size, kept and text_sha256 (in place of any so called).
 
     text_sha256 is null for texts that the cheaper steps have shown to be alone, unless
     ``hash_all`` asks for it.
     """
-    rest = [c for c in df.columns if c != text_col]
+    rest = [c for c in df.columns if c not in (text_col, "keep_id", "group_size", "kept", "text_sha256")]
     row, norm, size, prefix, slot, bits, full = names(df, "row", "norm", "len", "prefix", "slot", "bits", "full")
     read = df.select(*(quoted(c) for c in rest), normalised(quoted(text_col)).alias(norm))
     # Step 1 and 2: lengths, then prefixes, of all rows; what stands alone is out.

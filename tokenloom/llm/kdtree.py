@@ -133,6 +133,8 @@ def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vectors, tree = None, [], [], None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             shard, dim = batch.column("shard").to_numpy(), batch.column("dim").to_numpy()
             asks = batch.column("is_query").to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (dim[1:] != dim[:-1]) | (asks[1:] != asks[:-1])])

@@ -150,8 +150,8 @@ def fit(docs: DataFrame, target: DataFrame, ids: dict[str, int], id_col: str = "
 
 
 def score(df: DataFrame, ids: dict[str, int], models: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``df`` without the text, plus n_tokens, target_loss, background_loss and score. Map-only."""
-    keep = [c for c in df.columns if c != text_col]
+    """``df`` without the text, plus n_tokens, target_loss, background_loss and score (in place of any so called). Map-only."""
+    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "target_loss", "background_loss", "score")]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score"))])
     send = df.sparkSession.sparkContext.broadcast((ids, models))
 

@@ -169,17 +169,26 @@ def term_spans(texts: DataFrame, **thresholds: float) -> DataFrame:
     return found.select("key", F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (F.col("terms")[F.lower(x["value"])] >= REMOVE).alias("remove"))).alias("term_spans"))
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    prefix = "b_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def key_of(text: Column) -> Column:
     return F.md5(text)
 
 
 def find(df: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``df`` (without the text, unless asked for) with column ``spans``: (start, kind_no, kind, end, remove) in order."""
-    key, body, prefix, spans = names(df, "key", "body", "b_", "spans")
-    kept = [c for c in df.columns if c != text_col]
+    kept = [c for c in df.columns if c not in (text_col, "spans")]
+    key, body, more_col = names(df, "key", "body", "term_spans")
+    spans, prefix = "spans", free_prefix(df)
     text = F.coalesce(quoted(text_col), F.lit(""))
     texts = df.select(key_of(text).alias("key"), text.alias("text"))
-    more = term_spans(texts).select(F.col("key").alias(key), "term_spans")
+    more = term_spans(texts).select(F.col("key").alias(key), F.col("term_spans").alias(more_col))
     read = df.select(*(quoted(c) for c in kept), text.alias(body))
     base = with_base(read, F.col(body), prefix, contexts=False)
 
@@ -189,7 +198,7 @@ def find(df: DataFrame, text_col: str = "text", keep_text: bool = False) -> Data
     found = F.array_sort(F.concat(*(tagged(F.col(f"{prefix}{k}"), k) for k in PATTERNS)))
     base = base.select(*(quoted(c) for c in kept), F.col(body) if keep_text else F.lit(None).cast("string").alias(body), key_of(F.col(body)).alias(key), found.alias(spans))
     together = base.join(more, key, "left")
-    out = together.select(*(quoted(c) for c in kept), *([F.col(body).alias(text_col)] if keep_text else []), F.when(F.col("term_spans").isNull(), F.col(spans)).otherwise(F.array_sort(F.concat(spans, tagged(F.col("term_spans"), "term", F.lit(1))))).alias("spans"))
+    out = together.select(*(quoted(c) for c in kept), *([F.col(body).alias(text_col)] if keep_text else []), F.when(F.col(more_col).isNull(), F.col(spans)).otherwise(F.array_sort(F.concat(spans, tagged(F.col(more_col), "term", F.lit(1))))).alias("spans"))
     return out
 
 
@@ -199,21 +208,21 @@ def sanitise(df: DataFrame, text_col: str = "text") -> DataFrame:
     Texts without a disclosing term, nearly all, are rewritten where they are read; the others
     meet their terms in a join, reached by a bitmap of bounded size.
     """
-    key, slot, bits, spans = names(df, "key", "slot", "bits", "spans")
+    key, slot, bits, spans, more_col = names(df, "key", "slot", "bits", "spans", "term_spans")
     text = F.coalesce(quoted(text_col), F.lit(""))
     texts = df.select(key_of(text).alias("key"), text.alias("text"))
-    more = cut(term_spans(texts)).select(F.col("key").alias(key), "term_spans")
+    more = cut(term_spans(texts)).select(F.col("key").alias(key), F.col("term_spans").alias(more_col))
     h = F.xxhash64(key)
     marked = df.withColumn(key, key_of(text)).withColumn(slot, bitmap_slot(h)).join(F.broadcast(key_bitmap(more, h, slot, bits)), slot, "left")
     hit = bitmap_hit(F.col(bits), h)
-    plain = marked.filter(~hit).withColumn("term_spans", F.lit(None).cast("array<struct<start:bigint,end:bigint,remove:boolean>>"))
-    joined = marked.filter(hit).join(more, key, "left").select(*plain.columns)
+    plain = marked.filter(~hit).withColumn(more_col, F.lit(None).cast("array<struct<start:bigint,end:bigint,remove:boolean>>"))
+    joined = marked.filter(hit).join(more, key, "left").select(*(quoted(c) for c in plain.columns))
     both = plain.union(joined)
-    prefix = names(both, "b_")[0]
+    prefix = free_prefix(both)
     found = with_base(both, text, prefix, contexts=False)
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     struct = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), x["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("by"))
-    terms = F.transform(F.coalesce("term_spans", F.array().cast("array<struct<start:bigint,end:bigint,remove:boolean>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind_no"), x["end"].alias("end"), F.when(x["remove"], "").otherwise("<TERM>").alias("by")))
+    terms = F.transform(F.coalesce(more_col, F.array().cast("array<struct<start:bigint,end:bigint,remove:boolean>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind_no"), x["end"].alias("end"), F.when(x["remove"], "").otherwise("<TERM>").alias("by")))
     every = F.array_sort(F.concat(*(F.transform(F.coalesce(F.col(f"{prefix}{k}"), empty), struct(k)) for k in PATTERNS), terms))
     found = found.withColumn(spans, every)
     # What overlaps is one: a span is left out if an earlier one reaches over its start.

@@ -267,10 +267,11 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     fp, copy = names(df, "fp", "copy")
     rest = fingerprints(rest.withColumn(copy, quoted(text_col)), copy, fp)
     # By id and fingerprint a row is known; rows of no group of several only looked like one.
-    groups = several.select("id", F.col("fp").alias("f"), "component_id", "root").distinct()
-    met = rest.join(groups, (rest[fp] == groups["f"]) & F.col(f"`{id_col}`").eqNullSafe(groups["id"]), "left")
-    alone = met.filter("root IS NULL")
-    first = met.filter(F.col("root").isNotNull() & F.col("id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    known, mark, least, root = names(rest, "known", "mark", "least", "root")
+    groups = several.select(F.col("id").alias(known), F.col("fp").alias(mark), F.col("component_id").alias(least), F.col("root").alias(root)).distinct()
+    met = rest.join(groups, (F.col(fp) == F.col(mark)) & quoted(id_col).eqNullSafe(F.col(known)), "left")
+    alone = met.filter(F.col(root).isNull())
+    first = met.filter(F.col(root).isNotNull() & F.col(known).eqNullSafe(F.col(least))).dropDuplicates([root])
     return sure.union(alone.select(*sure.columns)).union(first.select(*sure.columns))
 
 

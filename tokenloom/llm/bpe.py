@@ -17,7 +17,6 @@ import functools
 import json
 import re
 import sys
-import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -36,18 +35,6 @@ CACHE_CHUNKS = 150_000
 CACHE_PAIRS = 400_000
 
 
-def byte_alphabet() -> list[str]:
-    """Byte -> printable character, as byte-level vocabularies have it: printable
-    Latin-1 bytes stand for themselves, the others for code points from 256 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out, spare = {b: chr(b) for b in printable}, 256
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(spare)
-            spare += 1
-    return [out[b] for b in range(256)]
-
-
 class WordBpe:
     """A byte-level BPE with word ends, read from a ``tokenizers`` JSON file."""
 
@@ -74,13 +61,14 @@ class WordBpe:
             self.product[vocab[a], vocab[b]] = made
             self.parts.setdefault(made, (vocab[a], vocab[b]))
             self.order.setdefault(made, rank)
-        letters = byte_alphabet()
-        self.letters = {b: letters[b] for b in range(256)}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        import regex
+        # Fixed value: how the vocabulary splits text into words, here for printable ASCII in lower case.
+        self.words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+        # Other text is normalised and split by the library, whose tables of letters and compositions count.
+        from tokenizers import Tokenizer
 
-        # Fixed value: how the vocabulary splits text into words.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        tool = Tokenizer.from_file(file)
+        self.normalise, self.presplit = tool.normalizer.normalize_str, tool.pre_tokenizer.pre_tokenize_str
         self.neighbours: dict[tuple[int, int], bool] = {}
 
     # -- text to words ---------------------------------------------------------------
@@ -101,14 +89,9 @@ class WordBpe:
                 if part.isascii() and part.isprintable():
                     out += self.words.findall(part.lower())
                 else:
-                    # Sigma is lowered letter by letter, without Python's rule for word ends.
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                    out += [self.lettered(w) for w in self.words.findall(part)]
+                    out += [w for w, _ in self.presplit(self.normalise(part))]
         return out
 
-    def lettered(self, word: str) -> str:
-        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-
     # -- words to ids ----------------------------------------------------------------
 
     def accepts(self, left: int, right: int) -> bool:

@@ -111,9 +111,14 @@ def test_simhash(docs, clashing, none):
     least = {p: min((i for q in g for i in points[q] if i is not None), default=None) for g in groups for p in g}
     for r in rows:
         assert r.component_id == least[r.fp % 2**64]
-    left = simhash.deduplicate(clashing)
-    assert left.columns == clashing.columns and left.count() == len(groups)
-    assert simhash.near_dedup(none).count() == 0 and simhash.deduplicate(none).count() == 0
+    for similarity in (None, 0.8):
+        left = simhash.deduplicate(clashing, similarity=similarity)
+        assert left.columns == clashing.columns
+        if similarity is None:
+            assert left.count() == len(groups)
+        assert len({norm(r.text).lower() for r in left.collect()}) == left.count()
+        assert simhash.deduplicate(none, similarity=similarity).count() == 0
+    assert simhash.near_dedup(none).count() == 0 and simhash.similar(none).count() == 0
 
 
 def test_toxicity(docs, clashing, none, labels):

@@ -241,6 +241,27 @@ def test_vantage_point_shards_lose_no_link(seed):
     assert np.array_equal(forest.roots(n), plain.roots(n))
 
 
+def test_similar_texts(spark, monkeypatch):
+    """Planted near copies are found and nothing else, over one shard or many, in a group of any size."""
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    texts, group = [], []
+    for g in range(60):
+        base = [word() for _ in range(200)]
+        for _ in range(300 if g == 0 else 1 + g % 3):
+            copy = list(base)
+            for at in rng.choice(200, 1):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+            group.append(g)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for points in (100_000, 60):
+        monkeypatch.setattr(simhash, "WIDE_SHARD_POINTS", points)
+        got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+        assert got == {i: group.index(g) for i, g in enumerate(group)}
+    assert simhash.deduplicate(df).count() == 60
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}
@@ -278,14 +299,21 @@ def test_pipeline_against_brute_force(spark):
     for i in sorted(kept):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i] or ""), i)
     kept = {i: kept[i] for i in first.values()}
-    marks, left = {i: simhash.fingerprint(t) for i, t in kept.items()}, {}
+    marks, left = {i: simhash.wide_fingerprint(t) for i, t in kept.items()}, {}
+    most = simhash.widest(simhash.SIMILARITY)
+    halves = {i: m.view(np.uint32) for i, m in marks.items()}
+
+    def alike(a, b):
+        met = (np.bitwise_count(halves[a] ^ halves[b]) <= simhash.SKETCH_RADIUS).any()
+        return met and np.bitwise_count(marks[a] ^ marks[b]).sum() <= most
+
     for i in sorted(kept):
         todo, seen = [i], set()
         while todo:
             x = todo.pop()
             if x not in seen:
                 seen.add(x)
-                todo += [j for j in kept if (marks[x] ^ marks[j]).bit_count() <= simhash.RADIUS]
+                todo += [j for j in kept if alike(x, j)]
         if min(seen) == i:
             left[i] = kept[i]
     rows = corpus_pipeline.run(spark, DOCS).collect()

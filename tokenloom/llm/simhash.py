@@ -9,6 +9,10 @@ is searched by a vantage-point tree of its own and leaves a spanning forest of i
 never more rows than points. Components of the forests come from alternating star
 contractions, cut by checkpoints.
 
+near_dedup() links 64-bit fingerprints of three-word shingles at two bits; similar() groups texts
+alike at a Jaccard similarity of 0.8 by five-word shingles, through wider fingerprints and a tree
+for each half word of them.
+
 A distinct point has at most 2080 others within two bits, so no group makes all its pairs.
 
 Defined results: a null text is empty; a text without words has fingerprint zero, linked
@@ -19,7 +23,7 @@ other; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,24 +135,31 @@ def route(tree: list, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndar
 # -- in a shard ------------------------------------------------------------------------
 
 
-def close_pairs(members: np.ndarray, queries: np.ndarray, radius: int = RADIUS, leaf: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (query, member) within the radius, by a vantage-point tree over the members, in blocks."""
+def close_leaves(members: np.ndarray, queries: np.ndarray, radius: int = RADIUS, leaf: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, queries) by index for each leaf of a vantage-point tree over the members and the queries that may reach it."""
     stack = [(np.arange(len(members)), np.arange(len(queries)))]
     while stack:
         m_idx, q_idx = stack.pop()
         if not len(m_idx) or not len(q_idx):
             continue
         if len(m_idx) > leaf:
-            d = distance(members[m_idx], members[m_idx[len(m_idx) // 2]])
+            vantage = members[m_idx[len(m_idx) // 2]]
+            d = distance(members[m_idx], vantage)
             cutoff = int(np.median(d))
             inside = d <= cutoff
             if inside.all():
                 cutoff = int(d.max()) - 1
                 inside = d <= cutoff
             if inside.any() and not inside.all():
-                dq = distance(queries[q_idx], members[m_idx[len(m_idx) // 2]])
+                dq = distance(queries[q_idx], vantage)
                 stack += [(m_idx[inside], q_idx[dq <= cutoff + radius]), (m_idx[~inside], q_idx[dq > cutoff - radius])]
                 continue
+        yield m_idx, q_idx
+
+
+def close_pairs(members: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (query, member) within the radius, in blocks."""
+    for m_idx, q_idx in close_leaves(members, queries, radius):
         step = max(1, 4_000_000 // len(m_idx))
         for at in range(0, len(q_idx), step):
             part = q_idx[at : at + step]
@@ -249,30 +260,194 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """Per row: the id, fp (signed long), component_id, the smallest id that links lead to, and root, the group's own number."""
     marked = cut(fingerprints(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), words=words))
-    points = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(points, radius))
-    of = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return grouped(marked, "fp", lambda points: links(points, radius)).withColumnRenamed("id", id_col)
+
+
+def grouped(marked: DataFrame, mark: str, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``marked`` (id, mark, ..) with component_id and root, by the links (u, v) between distinct marks."""
+    points = cut(marked.groupBy(mark).agg(F.min("id").alias("least")))
+    roots = components(link(points))
+    of = points.join(roots, points[mark] == roots.node, "left").select(mark, "least", F.coalesce("root", mark).alias("root"))
     first = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Points alone need no join back.
-    of = of.join(first, "root").select("fp", "component_id", "root")
-    return marked.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
+    return marked.join(of.join(first, "root").select(mark, "component_id", "root"), mark)
+
+
+# -- by similarity ---------------------------------------------------------------------
+#
+# Two bits of 64 leave out most texts that are alike at 0.8. For a similarity, a text gets a wide
+# fingerprint of several words, whose distance tells the angle of two shingle sets well, and each
+# half word of it is a sketch with a vantage-point tree of its own: texts meet where one of their
+# sketches is within two bits, and are linked if the wide fingerprints agree.
+
+WIDE_WORDS = 8
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE_SHARD_POINTS = 262_144
+SKETCH_RADIUS = 2
+
+
+def widest(similarity: float, words: int = WIDE_WORDS) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity, and one standard deviation more.
+
+    The cosine of sets of a size is 2J / (1 + J). Without the margin half of the texts right at the
+    similarity would be lost to chance.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+
+
+def wide_fingerprint(text: str | None, words: int = WIDE_SHINGLE, count: int = WIDE_WORDS) -> np.ndarray:
+    """``count`` words of fingerprint over a text's distinct shingles, each from the same hash mixed anew."""
+    blocks = list(shingle_hashes(text or "", words))
+    if not blocks:
+        return np.zeros(count, np.uint64)
+    h = np.unique(np.concatenate(blocks))
+    ones = np.zeros(64 * count, np.int64)
+    steps = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096, None] + steps[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(len(x), -1).sum(0, dtype=np.int32)
+    return np.frombuffer(np.packbits(2 * ones > len(h)).tobytes(), ">u8").astype(np.uint64)
+
+
+def wide_fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the text replaced by ``wide`` (array of signed longs). Map-only."""
+    keep = [c for c in df.columns if c != text_col]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("wide", T.ArrayType(T.LongType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.array([wide_fingerprint(t.as_py()) for t in batch.column(text_col)], np.uint64).reshape(-1, WIDE_WORDS)
+            flat = pa.array(marks.view(np.int64).ravel())
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE_WORDS, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), wide], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group of near-duplicates, that of the smallest id. Only texts of groups of several are shuffled."""
-    marked = cut(near_dedup(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "id"))
+
+def linked(forest: Forest, wide: np.ndarray, q: np.ndarray, m: np.ndarray, most: int) -> None:
+    """Link what agrees among all of q with all of m, without looking at pairs that are together already.
+
+    A large group of near copies is soon one set: then only what is not in it is compared.
+    """
+    if len(q) * len(m) > 65_536:
+        pivot = np.full(len(q), m[0])
+        near = np.bitwise_count(wide[q] ^ wide[pivot]).sum(1) <= most
+        forest.link(q[near], pivot[near])
+        pivot = np.full(len(m), m[0])
+        near = np.bitwise_count(wide[m] ^ wide[pivot]).sum(1) <= most
+        forest.link(m[near], pivot[near])
+        root = forest.roots(m[:1])[0]
+        q_in, m_in = forest.roots(q) == root, forest.roots(m) == root
+        parts = [(q[~q_in], m), (q[q_in], m[~m_in])]
+    else:
+        parts = [(q, m)]
+    for a, b in parts:
+        if not len(a) or not len(b):
+            continue
+        step = max(1, 1_000_000 // len(b))
+        for at in range(0, len(a), step):
+            x = a[at : at + step]
+            i, j = np.nonzero(forest.roots(x)[:, None] != forest.roots(b)[None, :])
+            for k in range(0, len(i), 1_000_000):
+                u, v = x[i[k : k + 1_000_000]], b[j[k : k + 1_000_000]]
+                near = np.bitwise_count(wide[u] ^ wide[v]).sum(1) <= most
+                forest.link(u[near], v[near])
+
+
+def wide_links(points: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between numbered points (mark, wide) whose sketches meet and whose wide fingerprints agree."""
+    spark, n = points.sparkSession, points.count()
+    leaves = max(1, min(SAMPLE_POINTS // 16, math.ceil(n / WIDE_SHARD_POINTS)))
+    most, tables = widest(similarity), 2 * WIDE_WORDS
+
+    def sketch(wide: np.ndarray, table: int) -> np.ndarray:
+        word = wide[:, table // 2]
+        return word >> np.uint64(32) if table % 2 else word & np.uint64(0xFFFFFFFF)
+
+    sample = np.zeros((0, WIDE_WORDS), np.uint64)
+    if leaves > 1:
+        rows = points.select("wide").orderBy(F.xxhash64("wide")).limit(min(SAMPLE_POINTS, 512 * leaves)).toPandas()
+        sample = np.array(rows["wide"].tolist(), np.int64).view(np.uint64).reshape(-1, WIDE_WORDS)
+    trees = spark.sparkContext.broadcast([fit(sketch(sample, t), leaves, SKETCH_RADIUS) for t in range(tables)])
+    names = ["part", "own", "mark", *(f"w{i}" for i in range(WIDE_WORDS))]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mark = batch.column("mark").to_numpy()
+            wide = batch.column("wide").flatten().to_numpy().view(np.uint64).reshape(-1, WIDE_WORDS)
+            for t in range(tables):
+                at, leaf, own = route(trees.value[t], sketch(wide, t), SKETCH_RADIUS)
+                yield pa.RecordBatch.from_arrays([pa.array((leaf * tables + t).astype(np.int32)), pa.array(own), pa.array(mark[at]), *(pa.array(wide[at, i].view(np.int64)) for i in range(WIDE_WORDS))], names=names)
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("own", ascending=False, kind="stable")
+        wide = frame[[f"w{i}" for i in range(WIDE_WORDS)]].to_numpy(np.int64).view(np.uint64)
+        mark, own = frame["mark"].to_numpy(np.int64), int(frame["own"].sum())
+        marks = sketch(wide, int(frame["part"].iloc[0]) % tables)
+        forest = Forest(len(mark))
+        for m, q in close_leaves(marks[:own], marks, SKETCH_RADIUS):
+            if len(q) * len(m) <= 65_536:  # few enough to ask the sketches of each pair first
+                i, j = np.nonzero(np.bitwise_count(marks[q][:, None] ^ marks[m][None, :]) <= SKETCH_RADIUS)
+                u, v = q[i], m[j]
+                near = (u != v) & (np.bitwise_count(wide[u] ^ wide[v]).sum(1) <= most)
+                forest.link(u[near], v[near])
+            elif (marks[m] == marks[m[0]]).all():  # one sketch of many points, near copies mostly
+                linked(forest, wide, q[np.bitwise_count(marks[q] ^ marks[m[0]]) <= SKETCH_RADIUS], m, most)
+            else:
+                step = max(1, 1_000_000 // len(m))
+                for at in range(0, len(q), step):
+                    i, j = np.nonzero(np.bitwise_count(marks[q[at : at + step]][:, None] ^ marks[m][None, :]) <= SKETCH_RADIUS)
+                    u, v = q[at : at + step][i], m[j]
+                    apart = forest.roots(u) != forest.roots(v)
+                    u, v = u[apart], v[apart]
+                    near = np.bitwise_count(wide[u] ^ wide[v]).sum(1) <= most
+                    forest.link(u[near], v[near])
+        root = forest.roots(np.arange(len(mark)))
+        moved = root != np.arange(len(mark))
+        return pd.DataFrame({"u": mark[moved], "v": mark[root[moved]]})
+
+    dealt = points.select("mark", "wide").mapInArrow(deal, ", ".join(["part int", "own boolean", "mark long", *(f"w{i} long" for i in range(WIDE_WORDS))]))
+    return dealt.groupBy("part").applyInPandas(search, "u long, v long")
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Per row: the id, text_key, component_id and root of groups alike at ``similarity`` or more (Jaccard, five words)."""
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    keyed = df.select(quoted(id_col).alias("id"), F.md5(text).alias("text_key"), text.alias("text"))
+    marked = cut(wide_fingerprints(keyed).withColumn("mark", F.xxhash64("wide")))
+    wides = marked.select("mark", "wide")
+
+    def link(points: DataFrame) -> DataFrame:
+        return wide_links(cut(wides.groupBy("mark").agg(F.first("wide").alias("wide"))), similarity)
+
+    return grouped(marked.select("id", "text_key", "mark"), "mark", link).select(F.col("id").alias(id_col), "text_key", "component_id", "root")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = SIMILARITY) -> DataFrame:
+    """``df`` with one row of each group of near-duplicates, that of the smallest id. Only texts of groups of several are shuffled.
+
+    Groups are texts alike at ``similarity``, or, without one, those of near_dedup().
+    """
+    if similarity is None:
+        both = df.select(quoted(id_col).alias("id"), F.md5(F.coalesce(quoted(text_col), F.lit(""))).alias("text_key"), quoted(text_col).alias("text"))
+        marked = cut(grouped(cut(fingerprints(both)), "fp", links).select("id", "text_key", "component_id", "root"))
+    else:
+        marked = cut(similar(df, id_col, text_col, similarity).withColumnRenamed(id_col, "id"))
     several = marked.groupBy("root").count().filter("count > 1").select("root")
     several = cut(marked.join(several, "root", "left_semi"))
     sure, rest = split_by_ids(df, id_col, several.select(F.col("id").alias(id_col)))
-    fp, copy = names(df, "fp", "copy")
-    rest = fingerprints(rest.withColumn(copy, quoted(text_col)), copy, fp)
-    # By id and fingerprint a row is known; rows of no group of several only looked like one.
-    known, mark, least, root = names(rest, "known", "mark", "least", "root")
-    groups = several.select(F.col("id").alias(known), F.col("fp").alias(mark), F.col("component_id").alias(least), F.col("root").alias(root)).distinct()
-    met = rest.join(groups, (F.col(fp) == F.col(mark)) & quoted(id_col).eqNullSafe(F.col(known)), "left")
+    text_key, known, key, least, root = names(df, "text_key", "known", "key", "least", "root")
+    rest = rest.withColumn(text_key, F.md5(F.coalesce(quoted(text_col), F.lit(""))))
+    # By id and text a row is known; rows of no group of several only looked like one.
+    groups = several.select(F.col("id").alias(known), F.col("text_key").alias(key), F.col("component_id").alias(least), F.col("root").alias(root)).distinct()
+    met = rest.join(groups, (F.col(text_key) == F.col(key)) & quoted(id_col).eqNullSafe(F.col(known)), "left")
     alone = met.filter(F.col(root).isNull())
     first = met.filter(F.col(root).isNotNull() & F.col(known).eqNullSafe(F.col(least))).dropDuplicates([root])
-    return sure.union(alone.select(*sure.columns)).union(first.select(*sure.columns))
+    return sure.union(alone.select(*(quoted(c) for c in sure.columns))).union(first.select(*(quoted(c) for c in sure.columns)))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

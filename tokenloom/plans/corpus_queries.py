@@ -31,14 +31,19 @@ def _mixed_qrels(s, d):
     return corpora.mix(_two(s, d))[1]
 
 
-_FEW = ", few AS (SELECT * FROM qrels WHERE query_idx = 0), good AS (SELECT * FROM docs SEMI JOIN few USING (doc_idx)), other AS (SELECT *, row_number() OVER (ORDER BY doc_idx) - 1 AS n FROM docs ANTI JOIN few USING (doc_idx)), c AS (SELECT (SELECT count(*) FROM good) AS g, (SELECT count(*) FROM other) AS o, 2 * (SELECT count(*) FROM docs) + 5 AS target)"
+def best_relevant(qrels):
+    """The most relevant document of each query."""
+    return qrels.groupBy("query_idx").agg(F.min_by(F.struct("doc_idx", "rel"), F.struct(-F.col("rel"), "doc_idx")).alias("b")).select("query_idx", "b.doc_idx", "b.rel")
+
+
+_FEW = ", few AS (SELECT * FROM qrels QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY rel DESC, doc_idx) = 1), good AS (SELECT * FROM docs SEMI JOIN few USING (doc_idx)), other AS (SELECT *, row_number() OVER (ORDER BY doc_idx) - 1 AS n FROM docs ANTI JOIN few USING (doc_idx)), c AS (SELECT (SELECT count(*) FROM good) AS g, (SELECT count(*) FROM other) AS o, 2 * (SELECT count(*) FROM docs) + 5 AS target)"
 
 
 @query("docscale_stress", f"""{_FEW}, f AS (SELECT doc_idx, doc_id, r, r * o + n AS n, g FROM other, c, (SELECT unnest(range(0, 50)) AS r) WHERE r * o + n < target - g)
     SELECT doc_idx, doc_id, false AS copy FROM good UNION ALL SELECT doc_idx, CASE WHEN r > 0 THEN doc_id || ':stress-' || (n + g) ELSE doc_id END, r > 0 FROM f""")
 def _stress(s, d):
     t = views.load(s, d)
-    return corpora.stress(t.docs, t.qrels.filter("query_idx = 0"), 2 * t.docs.count() + 5)
+    return corpora.stress(t.docs, best_relevant(t.qrels), 2 * t.docs.count() + 5)
 
 
 def _key(label: str) -> str:
@@ -49,7 +54,7 @@ def _key(label: str) -> str:
     p AS (SELECT doc_idx, row_number() OVER (ORDER BY tier, k) - 1 AS position FROM o) SELECT size, position, doc_idx FROM p, (SELECT unnest([10, 20, 40]) AS size) WHERE position < size""")
 def _nested(s, d):
     t = views.load(s, d)
-    return corpora.nested_plan(t.docs, t.qrels.filter("query_idx = 0"), [10, 20, 40])
+    return corpora.nested_plan(t.docs, best_relevant(t.qrels), [10, 20, 40])
 
 
 @query("dedupe_docs", "WITH k AS (SELECT lang || ':' || source AS key, min(doc_id) AS first_row, count(*) AS copies FROM documents GROUP BY 1) SELECT key, first_row, copies, row_number() OVER (ORDER BY first_row) - 1 AS doc_idx FROM k")

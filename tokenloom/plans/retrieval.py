@@ -281,9 +281,10 @@ def _flagship(s, d):
     return search.with_ids(ranked, views.load(s, d).docs).withColumn("score", F.col("score").cast("long"))
 
 
-@query("candidate_score", f"{_scored_sql('dense_maxsim')} SELECT * FROM scores WHERE doc_idx % 7 = 3")
+@query("candidate_score", f"{_scored_sql('dense_maxsim')} SELECT * FROM scores WHERE doc_idx IN (SELECT doc_idx FROM qrels WHERE rel = 2)")
 def _candidate_score(s, d):
-    return _scored(s, d, "dense_maxsim", only=lambda docs: docs.filter("doc_idx % 7 = 3"))
+    wanted = views.load(s, d).qrels.filter("rel = 2")
+    return _scored(s, d, "dense_maxsim", only=lambda docs: search.candidates(docs, wanted))
 
 
 _ORDER = "SELECT 'doc-' || ((i * 5) % 12) AS doc_id, i AS pos FROM range(20) t(i)"

@@ -1,6 +1,6 @@
 """Registered queries of the retrieval engine."""
 
-from .plans import corpus_queries, retrieval  # noqa: F401  (corpus_queries adds its own)
+from .plans import corpus_queries, experiment_queries, retrieval  # noqa: F401  (the first two add their own)
 
 QUERIES = retrieval.QUERIES
 SQL = retrieval.SQL

@@ -5,8 +5,10 @@ keyed by free space. A piece goes to the open bin that it leaves with the least
 if none has room, a new bin opens, and at the limit the fullest one closes first.
 
 Texts are tokenised where they are read; only rows of a few numbers (and, on request, the
-ids) are dealt out for packing, in partitions of even size whatever keys they hold. What a
-packer gets is sorted from long to short, so that short pieces fill up what long ones leave.
+ids) are dealt out for packing, in partitions of even size whatever keys they hold. A packer
+takes its pieces in a hashed order and in blocks, each from long to short: short pieces fill up
+what long ones leave, and the open bins suffice for a partition of any size. (Sorting a whole
+partition would open bins for long pieces only and close them before short ones come.)
 
 Defined results: a null text is empty and gives the end id alone; a document over the
 limit is cut into full pieces and a rest; repeated rows and null ids are packed row by row;
@@ -32,6 +34,8 @@ from ._util import table
 #: Tokens of a sequence, and open bins of a packer.
 SEQUENCE_TOKENS = 4096
 OPEN_BINS = 4096
+#: Pieces that are ordered at a time.
+BLOCK_PIECES = 8192
 END_ID = 1
 
 
@@ -131,16 +135,27 @@ def pack(parts: DataFrame, length_col: str = "length", size: int = SEQUENCE_TOKE
     """
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, base = BestFit(size, open_bins), TaskContext.get().partitionId() << 40
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(length_col).to_pylist()]
-            at = pa.array([base + b for b, _ in placed], pa.int64())
-            offset = pa.array([o for _, o in placed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, at, offset], names=schema.names)
+            for at in range(0, batch.num_rows, BLOCK_PIECES):
+                held.append(batch.slice(at, BLOCK_PIECES))
+                if sum(x.num_rows for x in held) >= BLOCK_PIECES:
+                    yield pa.Table.from_batches(held)
+                    held = []
+        if held:
+            yield pa.Table.from_batches(held)
 
-    order = [F.col(length_col).desc(), *(F.col(c) for c in parts.columns if c not in (length_col, "ids"))]
-    return parts.hint("rebalance").sortWithinPartitions(*order).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, base = BestFit(size, open_bins), TaskContext.get().partitionId() << 40
+        for block in blocks(batches):
+            block = block.take(pa.array(np.argsort(-block.column(length_col).to_numpy(), kind="stable")))
+            placed = [bins.place(n) for n in block.column(length_col).to_pylist()]
+            block = block.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64()))
+            yield from block.append_column("offset", pa.array([o for _, o in placed], pa.int64())).to_batches()
+
+    narrow = [F.col(c) for c in parts.columns if c != "ids"]
+    return parts.hint("rebalance").sortWithinPartitions(F.xxhash64(*narrow), *narrow).mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:

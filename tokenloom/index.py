@@ -142,11 +142,17 @@ class Reranker:
         if self.index.mode == "binary_q40" and reducer != "maxsim":
             raise ValueError("binary_q40 supports maxsim only")
 
-    def search(self, queries: DataFrame, k: int = 10, rescore_candidates: int | None = None, reducer: str = "maxsim", query_weights: bool = False, temperature: float = 1.0) -> DataFrame:
-        """(query_idx, rank, doc_id, score); ``queries``: query_idx, q_pos, qemb and, if weighted, weight."""
+    def search(self, queries: DataFrame, k: int = 10, rescore_candidates: int | None = None, reducer: str = "maxsim", query_weights: bool = False, temperature: float = 1.0, int4_query: str = "float") -> DataFrame:
+        """(query_idx, rank, doc_id, score); with int4_query="int8", int4 documents meet int8 query codes (maxsim over
+        the whole index only). ``queries``: query_idx, q_pos, qemb and, if weighted, weight."""
         self._check(reducer, temperature, query_weights)
         if k < 1:
             raise ValueError("k must be at least 1")
+        if int4_query not in ("float", "int8"):
+            raise ValueError("int4_query must be float or int8")
+        if int4_query == "int8" and self.index.mode in ("int4", "int4_per_token") and reducer == "maxsim":
+            coded = packing.pack_int8(queries, "qemb")
+            queries = coded.withColumn("qemb", F.transform("codes", lambda c: c * F.col("token_scale")))
         batch = scoring.query_batch(queries, weight=F.col("weight") if query_weights else None)
         docs = self.index.table.select("doc_idx", "doc_id")
         if rescore_candidates is None:

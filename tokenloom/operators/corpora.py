@@ -83,3 +83,27 @@ def offsets(lengths: DataFrame) -> DataFrame:
     from ..functions.frames import running_total
 
     return running_total(lengths, ["doc_idx"], "n_tokens", "first_token")
+
+
+def chunks(lengths: DataFrame, budget: int) -> DataFrame:
+    """(doc_idx, n_tokens, chunk): documents in order, whole, up to a budget of tokens a chunk.
+
+    Ranges of documents are cut on their own, in one pass each, so a chunk ends at the end of a range too.
+    """
+    import pandas as pd
+
+    from ..functions.frames import by_range
+
+    def run(frames):
+        chunk, used = 0, 0
+        for frame in frames:
+            out = []
+            for n in frame["n_tokens"]:
+                if used and used + n > budget:
+                    chunk, used = chunk + 1, 0
+                used += n
+                out.append(chunk)
+            yield pd.DataFrame({"doc_idx": frame["doc_idx"], "n_tokens": frame["n_tokens"], "chunk": frame["part"].astype("int64") * (1 << 32) + pd.Series(out, index=frame.index, dtype="int64")})
+
+    dealt = by_range(lengths.select("doc_idx", "n_tokens"), ["doc_idx"])
+    return dealt.sortWithinPartitions("part", "doc_idx").mapInPandas(run, "doc_idx long, n_tokens long, chunk long")

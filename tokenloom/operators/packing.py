@@ -47,6 +47,13 @@ def token_scale(tokens: DataFrame, kind: str) -> DataFrame:
     return log_levels(tokens.withColumn("raw", V.mean_abs(e).cast("double")), levels)
 
 
+def explicit_token_scale(tokens: DataFrame, scales: DataFrame) -> DataFrame:
+    """Token scales from a table (doc_idx, token_pos, token_scale); one is needed for every token."""
+    out = tokens.drop("token_scale").join(scales.select("doc_idx", "token_pos", F.col("token_scale").cast("double").alias("token_scale")), ["doc_idx", "token_pos"], "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no scale for token"), F.col("doc_idx").cast("string"), F.col("token_pos").cast("string")))
+    return out.withColumn("token_scale", F.coalesce("token_scale", missing.cast("double")))
+
+
 def log_levels(tokens: DataFrame, levels: int) -> DataFrame:
     """Column raw quantised to evenly spaced levels of its logarithm between the corpus's least and most: log_code and token_scale."""
     tokens = with_stat(tokens.withColumn("ln", F.ln(F.greatest("raw", F.lit(LOG_FLOOR)))), lo=F.min("ln"), hi=F.max("ln"))

@@ -125,3 +125,13 @@ def _score_block(docs: DataFrame, ids: np.ndarray, matrix: np.ndarray, weights:
 def query_batch(query_tokens: DataFrame, vector: Column | str = "qemb", weight: Column | None = None) -> DataFrame:
     q = F.col(vector) if isinstance(vector, str) else vector
     return query_tokens.select("query_idx", "q_pos", F.transform(q, lambda x: x.cast("double")).alias("q"), (weight if weight is not None else F.lit(None)).cast("double").alias("weight"))
+
+
+def override_scale(docs: DataFrame, scale: float | DataFrame) -> DataFrame:
+    """``docs`` with a doc_scale for this call: one number, or a table (doc_idx, doc_scale) that must name every document."""
+    docs = docs.drop("doc_scale")
+    if not isinstance(scale, DataFrame):
+        return docs.withColumn("doc_scale", F.lit(float(scale)))
+    out = docs.join(scale.select("doc_idx", F.col("doc_scale").cast("double").alias("doc_scale")), "doc_idx", "left")
+    missing = F.raise_error(F.concat(F.lit("no scale for document "), F.col("doc_idx").cast("string")))
+    return out.withColumn("doc_scale", F.coalesce("doc_scale", missing.cast("double")))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import vectors as V
-from ..operators import corpora, packing
+from ..operators import corpora, packing, scoring
 from ..sources import views
-from .retrieval import lengths, query
+from .retrieval import _SIGN_D, lengths, query, score_sql
 
 
 def _two(s, d):
@@ -168,3 +168,23 @@ def _scale_keys(s, d):
     i = F.col("doc_id").cast("string")
     name = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(":"), i)).when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit("-limit"), i)).otherwise(F.col("source"))
     return t.select("doc_id", text.scale_key(name, F.col("n_chars")).alias("scale_key"))
+
+
+@query("explicit_token_scale", f"{score_sql(_SIGN_D.format('1.0 / (1 + token_pos)'))} SELECT * FROM scores")
+def _explicit(s, d):
+    t = views.load(s, d)
+    scales = t.doc_tokens.select("doc_idx", "token_pos", (1.0 / (1 + F.col("token_pos"))).alias("token_scale"))
+    nested = scoring.nest(packing.explicit_token_scale(packing.pack_signs(t.doc_tokens), scales), t.docs, "codes", "token_scale")
+    return scoring.score(nested, scoring.query_batch(t.query_tokens)).withColumn("score", F.round(F.col("score") + 0.0, 5))
+
+
+@query("scale_override", f"{score_sql(_SIGN_D.format('1.0'), reducer='topk2').replace(', 5) AS score', ', 12) AS score')} SELECT query_idx, doc_idx, round(2.5 * score, 5) + 0.0 AS score FROM scores")
+def _override(s, d):
+    t = views.load(s, d)
+    nested = scoring.override_scale(scoring.nest(packing.pack_signs(t.doc_tokens), t.docs, "codes", "token_scale"), 2.5)
+    return scoring.score(nested, scoring.query_batch(t.query_tokens), "topk2", doc_scale=True).withColumn("score", F.round("score", 5) + 0.0)
+
+
+@query("doc_chunks")
+def _chunks(s, d):
+    return corpora.chunks(lengths(s, d), 64)

@@ -26,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; by rows alone a batch of long texts has no bound.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded in bytes (as it says itself, else BATCH_BYTES)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that clash with none of ``df``'s, one for each wanted name."""
     taken = {c.lower() for c in df.columns}

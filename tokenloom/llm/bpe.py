@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._util import names, table
+from ._util import bounded_batches, names, table
 
 END = "</w>"
 #: Distinct chunks that an encoder keeps at most, in each of two generations.
@@ -263,7 +263,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
                 flat = pa.Array.from_buffers(pa.int32(), offsets[-1].as_py(), [None, pa.py_buffer(b"".join(parts))])
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.ListArray.from_arrays(offsets, flat)], names=[*keep, ids_col])
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -278,7 +278,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str =
             texts = [bpe.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, text_col])
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def _running(sizes: Iterable[int]) -> Iterator[int]:
@@ -309,7 +309,7 @@ def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
                     text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(df).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

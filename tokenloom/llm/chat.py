@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import quoted, table
+from ._util import bounded_batches, quoted, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 ROWS = 2048
@@ -131,7 +131,7 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", seq_col: str = "turn"
     event = quoted(event_col) if event_col else F.lit(None).cast("string")
     log = df.select(quoted(conv_col).alias("conv"), quoted(seq_col).alias("seq"), event.alias("event"), quoted(role_col).alias("role"), quoted(text_col).alias("text"), (quoted(message_col) if message_col else F.lit(None).cast("string")).cast("string").alias("message"))
     conv_type = df.schema[conv_col].dataType
-    log = log.repartition("conv")
+    log = bounded_batches(log).repartition("conv")
     order = ["conv", "message", "seq", "event", "role", "text"]
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

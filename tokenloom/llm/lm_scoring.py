@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._util import cut, quoted, table
+from ._util import bounded_batches, cut, quoted, table
 from .toxicity import words
 
 VOCABULARY = 32_768
@@ -58,7 +58,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY)
                     held = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=schema.names)
 
-    counts = docs.select(quoted(text_col).alias(text_col)).mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = bounded_batches(docs).select(quoted(text_col).alias(text_col)).mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "word").limit(size).toPandas()
     return {w: i for i, w in enumerate(top["word"])}
 
@@ -172,7 +172,7 @@ def score(df: DataFrame, ids: dict[str, int], models: tuple[np.ndarray, np.ndarr
                 n, t, b, s = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (t, b, s))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def target_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TARGET_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._util import table
+from ._util import bounded_batches, table
 
 #: Tokens of a sequence, and open bins of a packer.
 SEQUENCE_TOKENS = 4096
@@ -124,7 +124,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 columns = [rows.column(id_col).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(df).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def pack(parts: DataFrame, length_col: str = "length", size: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import cut, names, quoted, split_by_ids, table
+from ._util import bounded_batches, cut, names, quoted, split_by_ids, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fp", wor
             marks = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(text_col)], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(marks.view(np.int64))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -325,36 +325,46 @@ def wide_fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
             wide = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE_WORDS, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), wide], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
-def linked(forest: Forest, wide: np.ndarray, q: np.ndarray, m: np.ndarray, most: int) -> None:
+#: Pairs that are looked at together: a few MB of each array.
+PAIRS = 131_072
+
+
+def agree(wide: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Whether the wide fingerprints (one row a word) of two lists of points differ in ``most`` bits at most."""
+    differing = np.zeros(len(u), np.int16)
+    for word in wide:
+        differing += np.bitwise_count(word[u] ^ word[v])
+    return differing <= most
+
+
+def linked(forest: Forest, wide: np.ndarray, marks: np.ndarray, q: np.ndarray, m: np.ndarray, most: int) -> None:
     """Link what agrees among all of q with all of m, without looking at pairs that are together already.
 
     A large group of near copies is soon one set: then only what is not in it is compared.
     """
-    if len(q) * len(m) > 65_536:
-        pivot = np.full(len(q), m[0])
-        near = np.bitwise_count(wide[q] ^ wide[pivot]).sum(1) <= most
-        forest.link(q[near], pivot[near])
-        pivot = np.full(len(m), m[0])
-        near = np.bitwise_count(wide[m] ^ wide[pivot]).sum(1) <= most
-        forest.link(m[near], pivot[near])
+    parts = [(q, m)]
+    if len(q) * len(m) > PAIRS:
+        for side in (q, m):
+            pivot = np.full(len(side), m[0])
+            near = (distance(marks[side], marks[pivot]) <= SKETCH_RADIUS) & agree(wide, side, pivot, most)
+            forest.link(side[near], pivot[near])
         root = forest.roots(m[:1])[0]
         q_in, m_in = forest.roots(q) == root, forest.roots(m) == root
         parts = [(q[~q_in], m), (q[q_in], m[~m_in])]
-    else:
-        parts = [(q, m)]
     for a, b in parts:
-        if not len(a) or not len(b):
-            continue
-        step = max(1, 1_000_000 // len(b))
-        for at in range(0, len(a), step):
+        step = max(1, PAIRS // max(1, len(b)))
+        for at in range(0, len(a) if len(b) else 0, step):
             x = a[at : at + step]
-            i, j = np.nonzero(forest.roots(x)[:, None] != forest.roots(b)[None, :])
-            for k in range(0, len(i), 1_000_000):
-                u, v = x[i[k : k + 1_000_000]], b[j[k : k + 1_000_000]]
-                near = np.bitwise_count(wide[u] ^ wide[v]).sum(1) <= most
+            for left in range(0, len(b), PAIRS):
+                y = b[left : left + PAIRS]
+                i, j = np.nonzero(np.bitwise_count(marks[x][:, None] ^ marks[y][None, :]) <= SKETCH_RADIUS)
+                u, v = x[i], y[j]
+                apart = forest.roots(u) != forest.roots(v)
+                u, v = u[apart], v[apart]
+                near = agree(wide, u, v, most)
                 forest.link(u[near], v[near])
 
 
@@ -385,27 +395,12 @@ def wide_links(points: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("own", ascending=False, kind="stable")
-        wide = frame[[f"w{i}" for i in range(WIDE_WORDS)]].to_numpy(np.int64).view(np.uint64)
+        wide = np.stack([frame[f"w{i}"].to_numpy(np.int64).view(np.uint64) for i in range(WIDE_WORDS)])
         mark, own = frame["mark"].to_numpy(np.int64), int(frame["own"].sum())
-        marks = sketch(wide, int(frame["part"].iloc[0]) % tables)
+        marks = sketch(wide.T, int(frame["part"].iloc[0]) % tables)
         forest = Forest(len(mark))
         for m, q in close_leaves(marks[:own], marks, SKETCH_RADIUS):
-            if len(q) * len(m) <= 65_536:  # few enough to ask the sketches of each pair first
-                i, j = np.nonzero(np.bitwise_count(marks[q][:, None] ^ marks[m][None, :]) <= SKETCH_RADIUS)
-                u, v = q[i], m[j]
-                near = (u != v) & (np.bitwise_count(wide[u] ^ wide[v]).sum(1) <= most)
-                forest.link(u[near], v[near])
-            elif (marks[m] == marks[m[0]]).all():  # one sketch of many points, near copies mostly
-                linked(forest, wide, q[np.bitwise_count(marks[q] ^ marks[m[0]]) <= SKETCH_RADIUS], m, most)
-            else:
-                step = max(1, 1_000_000 // len(m))
-                for at in range(0, len(q), step):
-                    i, j = np.nonzero(np.bitwise_count(marks[q[at : at + step]][:, None] ^ marks[m][None, :]) <= SKETCH_RADIUS)
-                    u, v = q[at : at + step][i], m[j]
-                    apart = forest.roots(u) != forest.roots(v)
-                    u, v = u[apart], v[apart]
-                    near = np.bitwise_count(wide[u] ^ wide[v]).sum(1) <= most
-                    forest.link(u[near], v[near])
+            linked(forest, wide, marks, q, m, most)
         root = forest.roots(np.arange(len(mark)))
         moved = root != np.arange(len(mark))
         return pd.DataFrame({"u": mark[moved], "v": mark[root[moved]]})

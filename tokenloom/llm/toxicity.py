@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._util import cut, names, quoted, table
+from ._util import bounded_batches, cut, names, quoted, table
 
 SAMPLE_ROWS = 10_000
 MODEL_WORDS = 200_000
@@ -115,14 +115,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, model_words: int = MODEL_WORDS, discount: float = DISCOUNT, margin: float = MARGIN) -> tuple[dict[str, float], list[float]]:
     """(difference of each word that has one, weights of the curve)."""
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows)
+    sample = labelled_sample(bounded_batches(docs), labels, id_col, text_col, label_col, sample_rows)
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("before", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("ordinary", T.IntegerType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            for rows, texts in bpe.slices(batch, "text"):
+            for rows, texts in bpe.slices(batch, "text", 500_000):
                 out: list[list] = [[], [], [], []]
                 for text, toxic in zip(texts, rows.column("toxic").to_pylist(), strict=True):
                     found, first, seen = words(text), set(), set()
@@ -181,7 +181,7 @@ def score(df: DataFrame, model: tuple[dict[str, float], list[float]], text_col:
                     out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.float64())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

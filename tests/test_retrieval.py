@@ -174,3 +174,12 @@ def test_registered_queries_have_matching_names():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) > 80
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-B", "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)

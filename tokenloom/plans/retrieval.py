@@ -40,8 +40,9 @@ KEYS = ("doc_idx", "token_pos")
 HALF = "round_even({0}, 0)"
 
 
-def _packer(name: str, f: Callable[[DataFrame], DataFrame], columns: list[Column | str], sql: str) -> None:
-    query(name, sql)(lambda s, d: f(views.load(s, d).doc_tokens).select(*KEYS, *columns))
+def _packer(name: str, f: Callable[[DataFrame], DataFrame], columns: Callable[[], list[Column | str]], sql: str) -> None:
+    """Columns come from a function: none can be made before there is a session."""
+    query(name, sql)(lambda s, d: f(views.load(s, d).doc_tokens).select(*KEYS, *columns()))
 
 
 _S7 = "(CASE WHEN list_max([abs(x) for x in emb]) = 0 THEN 1 ELSE list_max([abs(x) for x in emb]) / 7::FLOAT END)::FLOAT"
@@ -57,33 +58,33 @@ def _fp16(x: str) -> str:
         FROM (SELECT v, abs(v) AS a, floor(log2(greatest(abs(v), 1e-30))) AS e0 FROM (SELECT ({x})::DOUBLE AS v)))))"""
 
 
-_packer("sign_pack", packing.pack_signs, [V.sign_bytes(F.col("codes")).alias("bytes")],
+_packer("sign_pack", packing.pack_signs, lambda: [V.sign_bytes(F.col("codes")).alias("bytes")],
         f"SELECT doc_idx, token_pos, [list_sum([(emb[b * 8 + i + 1] >= 0)::INT * (1 << i) for i in range(8)])::INT for b in range(len(emb) // 8)] AS bytes FROM doc_tokens")
-_packer("sign_unpack", lambda t: packing.pack_signs(t).withColumn("codes", V.sign_unbytes(V.sign_bytes(F.col("codes")))), ["codes"], f"SELECT doc_idx, token_pos, {_SIGNS} AS codes FROM doc_tokens")
-_packer("int4_pack_token", packing.pack_int4, ["codes", "token_scale"], f"SELECT doc_idx, token_pos, {_CODES.format(_S7, 7, 'emb')} AS codes, {_S7}::DOUBLE AS token_scale FROM doc_tokens")
-_packer("int4_pack_tensor", lambda t: packing.pack_int4(t, "tensor"), ["codes"],
+_packer("sign_unpack", lambda t: packing.pack_signs(t).withColumn("codes", V.sign_unbytes(V.sign_bytes(F.col("codes")))), lambda: ["codes"], f"SELECT doc_idx, token_pos, {_SIGNS} AS codes FROM doc_tokens")
+_packer("int4_pack_token", packing.pack_int4, lambda: ["codes", "token_scale"], f"SELECT doc_idx, token_pos, {_CODES.format(_S7, 7, 'emb')} AS codes, {_S7}::DOUBLE AS token_scale FROM doc_tokens")
+_packer("int4_pack_tensor", lambda t: packing.pack_int4(t, "tensor"), lambda: ["codes"],
         f", m AS (SELECT (max(list_max([abs(x) for x in emb]))::DOUBLE / 7)::FLOAT AS s FROM doc_tokens) SELECT doc_idx, token_pos, {_CODES.format('s', 7, 'emb')} AS codes FROM doc_tokens, m")
-_packer("int4_pack_channel", lambda t: packing.pack_int4(t, "channel"), ["codes"],
+_packer("int4_pack_channel", lambda t: packing.pack_int4(t, "channel"), lambda: ["codes"],
         """, u AS (SELECT doc_idx, token_pos, unnest(emb) AS x, unnest(range(len(emb))) AS d FROM doc_tokens),
         c AS (SELECT d, (CASE WHEN max(abs(x)) = 0 THEN 1 ELSE max(abs(x))::DOUBLE / 7 END)::FLOAT AS s FROM u GROUP BY d)
         SELECT doc_idx, token_pos, list(greatest(-7, least(7, round_even((x / s)::FLOAT::DOUBLE, 0)))::INT ORDER BY d) AS codes FROM u JOIN c USING (d) GROUP BY ALL""")
-_packer("nibble_pack", packing.pack_int4, [V.nibble_bytes(F.col("codes")).alias("bytes")],
+_packer("nibble_pack", packing.pack_int4, lambda: [V.nibble_bytes(F.col("codes")).alias("bytes")],
         f", c AS (SELECT doc_idx, token_pos, {_CODES.format(_S7, 7, 'emb')} AS k FROM doc_tokens) SELECT doc_idx, token_pos, [((k[2 * j + 1] + 16) % 16 + 16 * ((k[2 * j + 2] + 16) % 16))::INT for j in range(len(k) // 2)] AS bytes FROM c")
-_packer("nibble_unpack", lambda t: packing.pack_int4(t).withColumn("codes", V.nibble_unbytes(V.nibble_bytes(F.col("codes")))), ["codes"], f"SELECT doc_idx, token_pos, {_CODES.format(_S7, 7, 'emb')} AS codes FROM doc_tokens")
-_packer("int8_pack", packing.pack_int8, ["codes", "token_scale"], f"SELECT doc_idx, token_pos, {_CODES.format(_S127, 127, 'emb')} AS codes, {_S127}::DOUBLE AS token_scale FROM doc_tokens")
-_packer("int8_round", lambda t: t.withColumn("codes", V.scaled_codes(F.col("emb"), F.lit(1.0).cast("float"), 127)), ["codes"], f"SELECT doc_idx, token_pos, {_CODES.format('1::FLOAT', 127, 'emb')} AS codes FROM doc_tokens")
-_packer("ternary_pack", lambda t: packing.pack_ternary(t, 0.05), ["codes"], "SELECT doc_idx, token_pos, [CASE WHEN x > 0.05::DOUBLE THEN 1 WHEN x < -0.05::DOUBLE THEN -1 ELSE 0 END for x in [v::DOUBLE for v in emb]] AS codes FROM doc_tokens")
-_packer("ternary_threshold", packing.pack_ternary, ["codes"],
+_packer("nibble_unpack", lambda t: packing.pack_int4(t).withColumn("codes", V.nibble_unbytes(V.nibble_bytes(F.col("codes")))), lambda: ["codes"], f"SELECT doc_idx, token_pos, {_CODES.format(_S7, 7, 'emb')} AS codes FROM doc_tokens")
+_packer("int8_pack", packing.pack_int8, lambda: ["codes", "token_scale"], f"SELECT doc_idx, token_pos, {_CODES.format(_S127, 127, 'emb')} AS codes, {_S127}::DOUBLE AS token_scale FROM doc_tokens")
+_packer("int8_round", lambda t: t.withColumn("codes", V.scaled_codes(F.col("emb"), F.lit(1.0).cast("float"), 127)), lambda: ["codes"], f"SELECT doc_idx, token_pos, {_CODES.format('1::FLOAT', 127, 'emb')} AS codes FROM doc_tokens")
+_packer("ternary_pack", lambda t: packing.pack_ternary(t, 0.05), lambda: ["codes"], "SELECT doc_idx, token_pos, [CASE WHEN x > 0.05::DOUBLE THEN 1 WHEN x < -0.05::DOUBLE THEN -1 ELSE 0 END for x in [v::DOUBLE for v in emb]] AS codes FROM doc_tokens")
+_packer("ternary_threshold", packing.pack_ternary, lambda: ["codes"],
         ", t AS (SELECT quantile_cont(abs(x::DOUBLE), 0.25) AS t FROM (SELECT unnest(emb) AS x FROM doc_tokens)) SELECT doc_idx, token_pos, [CASE WHEN x > t THEN 1 WHEN x < -t THEN -1 ELSE 0 END for x in [v::DOUBLE for v in emb]] AS codes FROM doc_tokens, t")
 _RES = f""", a AS (SELECT doc_idx, token_pos, emb, {_S7} AS s1 FROM doc_tokens),
     b AS (SELECT *, {_CODES.format('s1', 7, 'emb')} AS codes FROM a),
     c AS (SELECT doc_idx, token_pos, s1, codes, [(emb[i] - (codes[i]::FLOAT * s1)::FLOAT)::FLOAT for i in range(1, len(emb) + 1)] AS emb FROM b),
     r AS (SELECT doc_idx, token_pos, s1, codes, emb AS rest, {_S7} AS s2 FROM c),
     res AS (SELECT doc_idx, token_pos, codes, s1::DOUBLE AS token_scale, s2::DOUBLE AS residual_scale, {_CODES.format('s2', 7, 'rest')} AS residual_codes FROM r)"""
-_packer("residual_pack", packing.pack_residual, ["codes", "token_scale", "residual_codes", "residual_scale"], f"{_RES} SELECT * FROM res")
-_packer("scale_token_mean", lambda t: packing.token_scale(t, "mean_abs"), [rounded(F.col("token_scale"), 7).alias("token_scale")], f"SELECT doc_idx, token_pos, round({_MEAN}::DOUBLE, 7) AS token_scale FROM doc_tokens")
-_packer("scale_token_l2", lambda t: packing.token_scale(t, "l2"), [rounded(F.col("token_scale"), 7).alias("token_scale")], "SELECT doc_idx, token_pos, round((sqrt(list_sum([x::DOUBLE * x for x in emb])) / sqrt(len(emb)))::FLOAT::DOUBLE, 7) AS token_scale FROM doc_tokens")
-_packer("scale_token_fp16", lambda t: packing.token_scale(t, "fp16"), ["token_scale"], f"SELECT doc_idx, token_pos, {_fp16(_MEAN)} AS token_scale FROM doc_tokens")
+_packer("residual_pack", packing.pack_residual, lambda: ["codes", "token_scale", "residual_codes", "residual_scale"], f"{_RES} SELECT * FROM res")
+_packer("scale_token_mean", lambda t: packing.token_scale(t, "mean_abs"), lambda: [rounded(F.col("token_scale"), 7).alias("token_scale")], f"SELECT doc_idx, token_pos, round({_MEAN}::DOUBLE, 7) AS token_scale FROM doc_tokens")
+_packer("scale_token_l2", lambda t: packing.token_scale(t, "l2"), lambda: [rounded(F.col("token_scale"), 7).alias("token_scale")], "SELECT doc_idx, token_pos, round((sqrt(list_sum([x::DOUBLE * x for x in emb])) / sqrt(len(emb)))::FLOAT::DOUBLE, 7) AS token_scale FROM doc_tokens")
+_packer("scale_token_fp16", lambda t: packing.token_scale(t, "fp16"), lambda: ["token_scale"], f"SELECT doc_idx, token_pos, {_fp16(_MEAN)} AS token_scale FROM doc_tokens")
 
 
 def _log(levels: int) -> str:
@@ -92,8 +93,8 @@ def _log(levels: int) -> str:
 
 
 for _name, _levels in (("scale_token_u8", 256), ("scale_token_u4", 16), ("scale_token_log2", 2), ("scale_token_log4", 4)):
-    _packer(_name, lambda t, n=_levels: packing.token_scale(t, f"log{n}"), ["log_code", rounded(F.col("token_scale"), 6).alias("token_scale")], _log(_levels))
-_packer("scale_group16", lambda t: t.withColumn("scales", V.group_scales(F.col("emb"))), [F.transform("scales", lambda x: F.round(x.cast("double"), 6)).alias("scales")],
+    _packer(_name, lambda t, n=_levels: packing.token_scale(t, f"log{n}"), lambda: ["log_code", rounded(F.col("token_scale"), 6).alias("token_scale")], _log(_levels))
+_packer("scale_group16", lambda t: t.withColumn("scales", V.group_scales(F.col("emb"))), lambda: [F.transform("scales", lambda x: F.round(x.cast("double"), 6)).alias("scales")],
         "SELECT doc_idx, token_pos, [round((list_sum([abs(x::DOUBLE) for x in emb[g * 16 + 1 : g * 16 + 16]]) / 16)::FLOAT::DOUBLE, 6) for g in range(len(emb) // 16)] AS scales FROM doc_tokens")
 
 query("scale_global", "SELECT round(sum(list_sum([abs(x::DOUBLE) for x in emb])) / sum(len(emb)), 8) AS scale FROM doc_tokens")(lambda s, d: packing.global_scale(views.load(s, d).doc_tokens).select(rounded(F.col("scale"), 8).alias("scale")))

@@ -176,6 +176,39 @@ def test_op5_against_plain_counts(spark):
     assert mean[1] < mean[0]
 
 
+def plain_score(texts, good, text):
+    """Cross-entropy difference by dictionaries, without a limit on words or bigrams."""
+    pairs = lambda t: list(zip(["", *t[:-1]], t, strict=True))
+    models = []
+    for some in ([t for i, t in texts.items() if i in good], list(texts.values())):
+        grams = collections.Counter(p for t in some for p in pairs(t))
+        models.append((grams, collections.Counter(p[0] for t in some for p in pairs(t)), collections.Counter(w for t in some for w in t)))
+    size = len(models[1][2])
+
+    def loss(grams, contexts, unigrams, p):
+        return -np.log2((grams[p] + lm_scoring.PRIOR * (unigrams[p[1]] + 1) / (unigrams.total() + size + 2)) / (contexts[p[0]] + lm_scoring.PRIOR))
+
+    return np.mean([loss(*models[0], p) - loss(*models[1], p) for p in pairs(text)])
+
+
+def test_lm_scoring_counts_each_bigram_of_many_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 200_000, raising=False)
+    rng = np.random.default_rng(5)
+    texts = {i: [f"w{x}" for x in rng.integers(0, 60_000, 3000)] for i in range(420)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
+    good = set(range(0, 420, 3))
+    ids = lm_scoring.vocabulary(df)
+    models = lm_scoring.fit(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), ids)
+    got = {r.doc_id: r for r in lm_scoring.score(df, ids, models).collect()}
+    assert len(got) == 420
+    for i in (0, 1, 3, 419):
+        assert abs(got[i].score - plain_score(texts, good, texts[i])) < 1e-9
+    # Texts that the models have not counted.
+    other = texts[7][:50] + ["unseen"] + texts[9][:50]
+    (row,) = lm_scoring.score(spark.createDataFrame([(1, " ".join(other))], "doc_id long, text string"), ids, models).collect()
+    assert row.n_tokens == 101 and abs(row.score - plain_score(texts, good, other)) < 1e-9
+
+
 @given(st.integers(0, 2**32), st.integers(1, 3), st.integers(1, 6))
 @settings(max_examples=25, deadline=None)
 def test_kd_tree(seed, spread, k):

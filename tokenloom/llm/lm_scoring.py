@@ -1,26 +1,32 @@
 """Language-model scoring by cross-entropy difference.
 
 A target model (of a bounded sample of rows known as good) and a background model (of all
-documents) share one vocabulary, one hashing of bigrams and one smoothing, so they differ in
-their counts only. A document's score is the mean over its tokens of target loss minus
-background loss, in bits: the lower, the more it is like the target.
+documents) share one vocabulary and one smoothing, so they differ in their counts only. A
+document's score is the mean over its tokens of target loss minus background loss, in bits:
+the lower, the more it is like the target.
 
-The vocabulary is the VOCABULARY most frequent words of the whole corpus; all other words are
-one class. Bigrams are counted in BUCKETS hashed slots, with Dirichlet smoothing by the
-unigrams of the same model. A task adds up its own counts as dense blocks and sends them
-once, so what is gathered grows with the input while a model's size is fixed; blocks are
-summed as they stream in, one accumulator each.
+Every word of the corpus is in the vocabulary and every bigram is counted by itself, with
+Dirichlet smoothing by the unigrams of the same model. Texts are read once, in chunks. A chunk
+sends each of its words, contexts and bigrams once, as a key of 64 bits with its counts, to the
+part that the key belongs to; a part adds up and answers with the counts of the whole corpus,
+in the chunk's own order. Parts grow in number with the corpus, not in size, and a common word
+is one key a chunk wherever it occurs. Nothing but totals reaches the driver.
 
 Defined results: a null text is empty; a text without words has no tokens and score, losses
 and n_tokens of zero; without target rows both models are the background and all scores are
 zero; null ids are scored like others and never are target; rows are scored one by one; an
-empty table gives no rows.
+empty table gives no rows. Words and bigrams are told apart by their keys: among 2e9 of them
+two share one with a probability of about 0.1.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,150 +35,253 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._util import bounded_batches, cut, quoted, table
+from ._util import bounded_batches, cut, names, quoted, table
 from .toxicity import words
 
-VOCABULARY = 32_768
-BUCKETS = 1 << 20
-BLOCK = 4096
+#: Most words of the vocabulary: no limit.
+VOCABULARY = None
+#: Tokens of the corpus for each part that adds up counts.
+PART_TOKENS = 1_000_000
 #: Weight of the unigram model, in observations of the context.
 PRIOR = 64.0
 #: Documents of the target model at most (the first by a hash of the id).
 TARGET_ROWS = 20_000
-#: Words that a task holds before it sends their counts.
+#: Words whose keys a task keeps.
 HELD_WORDS = 300_000
+#: Stands before the first word of a text.
+BEGIN = np.uint64(0x243F6A8885A308D3)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> dict[str, int]:
-    """Word -> id, by frequency in all documents. At most ``size`` words reach the driver."""
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-        for batch in batches:
-            for _, texts in bpe.slices(batch, text_col):
-                for text in texts:
-                    held.update(words(text))
-                if len(held) > HELD_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=schema.names)
-                    held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=schema.names)
-
-    counts = bounded_batches(docs).select(quoted(text_col).alias(text_col)).mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(size).toPandas()
-    return {w: i for i, w in enumerate(top["word"])}
-
-
-def token_ids(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    found, other = words(text), len(ids)
-    return np.fromiter((ids.get(w, other) for w in found), np.int64, len(found))
-
-
-def slots(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, bigram slots) of a text's tokens; the first stands after a begin sign."""
-    before = np.empty_like(ids)
-    if len(ids):
-        before[0], before[1:] = size + 1, ids[:-1]
-    with np.errstate(over="ignore"):
-        h = (before * (size + 2) + ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return before, (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+def bits(grams: np.ndarray, contexts: np.ndarray, unigrams: np.ndarray, total: float) -> np.ndarray:
+    """Loss of each token from its counts; ``total`` is that of the unigrams, smoothed."""
+    return -np.log2((grams + PRIOR * (unigrams + 1.0) / total) / (contexts + PRIOR))
 
 
 class Counts:
-    """Bigram slots, then unigrams, then contexts of one model, in one array of whole blocks."""
+    """One model in memory, by word numbers under ``size``: what the parts add up, for a small corpus."""
 
     def __init__(self, size: int):
         self.size = size
-        self.width = size + 2
-        self.total: float | None = None
-        total = BUCKETS + 2 * self.width
-        self.all = np.zeros(-(-total // BLOCK) * BLOCK, np.int64)
-        self.bigrams = self.all[:BUCKETS]
-        self.unigrams = self.all[BUCKETS : BUCKETS + self.width]
-        self.contexts = self.all[BUCKETS + self.width : total]
+        self.unigrams: Counter[int] = Counter()
+        self.contexts: Counter[int] = Counter()
+        self.bigrams: Counter[tuple[int, int]] = Counter()
+
+    def pairs(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        found = ids.tolist()
+        return list(zip([self.size + 1, *found[:-1]], found, strict=True)) if found else []
 
     def add(self, ids: list[np.ndarray]) -> None:
-        parts = [(i, *slots(i, self.size)) for i in ids if len(i)]
-        for values, into in ((1, self.contexts), (2, self.bigrams), (0, self.unigrams)):
-            if parts:
-                at, n = np.unique(np.concatenate([p[values] for p in parts]), return_counts=True)
-                into[at] += n
+        for pairs in map(self.pairs, ids):
+            self.bigrams.update(pairs)
+            self.contexts.update(b for b, _ in pairs)
+            self.unigrams.update(w for _, w in pairs)
 
     def losses(self, ids: np.ndarray) -> np.ndarray:
         """Bits of each token."""
-        before, at = slots(ids, self.size)
-        if self.total is None:
-            self.total = float(self.unigrams.sum()) + self.width
-        unigram = (self.unigrams[ids] + 1.0) / self.total
-        context = self.contexts[before].astype(np.float64)
-        return -np.log2((np.minimum(self.bigrams[at], context) + PRIOR * unigram) / (context + PRIOR))
-
-
-def fit(docs: DataFrame, target: DataFrame, ids: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(target counts, background counts). ``target``: a bounded table of ids."""
-    wanted = target.select(quoted(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
-    read = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(wanted), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    schema = T.StructType([T.StructField("model", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-    send = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def blocks(model: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        parts = counts.reshape(-1, BLOCK)
-        used = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), model, np.int32)), pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=schema.names)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = send.value
-        models = Counts(len(known)), Counts(len(known))
-        for batch in batches:
-            for rows, texts in bpe.slices(batch, "text"):
-                found = [token_ids(t, known) for t in texts]
-                models[1].add(found)
-                models[0].add([x for x, good in zip(found, rows.column("good").to_pylist(), strict=True) if good])
-        for m, counts in enumerate(models):
-            yield from blocks(m, counts.all)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for m, b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(data, np.int64)
-                if (m, b) in sums:
-                    sums[m, b] += part
-                else:
-                    sums[m, b] = part.copy()
-        for (m, b), part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=schema.names)
-
-    models = Counts(len(ids)).all, Counts(len(ids)).all
-    for row in cut(read.mapInArrow(count, schema).repartition("model", "block").mapInArrow(add_up, schema)).toLocalIterator():
-        models[row["model"]][row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
-    return models if models[0].any() else (models[1], models[1])
-
-
-def score(df: DataFrame, ids: dict[str, int], models: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``df`` without the text, plus n_tokens, target_loss, background_loss and score (in place of any so called). Map-only."""
-    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "target_loss", "background_loss", "score")]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score"))])
-    send = df.sparkSession.sparkContext.broadcast((ids, models))
+        pairs = self.pairs(ids)
+        of = lambda counts, keys: np.array([counts[k] for k in keys], np.float64)
+        return bits(of(self.bigrams, pairs), of(self.contexts, (b for b, _ in pairs)), of(self.unigrams, (w for _, w in pairs)), float(self.unigrams.total() + self.size + 2))
+
+
+# -- chunks of texts -------------------------------------------------------------------
+
+
+class WordKeys(dict):
+    """Word -> key."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        key = self[word] = xxhash.xxh64_intdigest(word)
+        return key
+
+
+def packed(values: np.ndarray) -> bytes:
+    """An array in small: most high bytes are zero."""
+    return zlib.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+CHUNK = "chunk string, tokens long, target long, rows binary, lengths binary, good binary, words binary, at binary"
+BLOCK = "part int, chunk string, keys binary, n binary, good binary"
+REPLY = "chunk string, part int, target binary, background binary"
+
+
+def chunked(df: DataFrame, text_col: str = "text", good_col: str | None = None) -> DataFrame:
+    """Rows of ``df`` in chunks (CHUNK): all columns but the text and ``good_col``, the lengths in tokens, word keys and which of them stands where. Map-only."""
+    keep = [c for c in df.columns if c not in (text_col, good_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, arrays = send.value
-        both = []
-        for values in arrays:
-            model = Counts(len(known))
-            model.all[:] = values
-            both.append(model)
+        keys = WordKeys()
         for batch in batches:
             for rows, texts in bpe.slices(batch, text_col):
-                out = []
-                for text in texts:
-                    found = token_ids(text, known)
-                    t, b = (float(m.losses(found).mean()) if len(found) else 0.0 for m in both)
-                    out.append((len(found), t, b, t - b))
-                n, t, b, s = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (t, b, s))], names=schema.names)
+                if len(keys) > HELD_WORDS:
+                    keys = WordKeys()
+                found = [words(t) for t in texts]
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                every = np.fromiter((keys[w] for f in found for w in f), np.uint64, int(lengths.sum()))
+                known, at = np.unique(every, return_inverse=True)
+                good = np.array(rows.column(good_col).to_pylist(), bool) if good_col else np.zeros(len(found), bool)
+                sink = pa.BufferOutputStream()
+                own = rows.select(keep)
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_batch(own)
+                yield pa.RecordBatch.from_pylist([{
+                    "chunk": uuid.uuid4().hex, "tokens": len(every), "target": int(lengths[good].sum()), "rows": sink.getvalue().to_pybytes(), "lengths": packed(lengths), "good": packed(good),
+                    "words": known.tobytes(), "at": packed(at.astype(np.uint32)),
+                }], schema=CHUNK_ARROW)
+
+    return bounded_batches(df).mapInArrow(run, CHUNK)
+
+
+CHUNK_ARROW = pa.schema([("chunk", pa.string()), ("tokens", pa.int64()), ("target", pa.int64()), *((n, pa.binary()) for n in ("rows", "lengths", "good", "words", "at"))])
+BLOCK_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.string()), *((n, pa.binary()) for n in ("keys", "n", "good"))])
+REPLY_ARROW = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("target", pa.binary()), ("background", pa.binary())])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def keys_of(known: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys of a chunk, where each token's word, context and bigram stand in them)."""
+    word = known[at]
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    # The number of the word before; one more than all stands for the begin sign.
+    context = np.empty(len(at), np.int64)
+    context[1:] = at[:-1]
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    before[starts], context[starts] = BEGIN, len(known)
+    with np.errstate(over="ignore"):
+        contexts = mixed(np.append(known, BEGIN) + np.uint64(0x9E3779B97F4A7C15))
+        grams, gram = np.unique(mixed(mixed(before) * np.uint64(0xD1342543DE82EF95) + word), return_inverse=True)
+    parts = known, contexts, grams
+    keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+    of_word, of_context, of_gram = np.split(place, np.cumsum([len(p) for p in parts])[:-1])
+    return keys, of_word[at], of_context[context], of_gram[gram]
+
+
+def chunk_arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["words"], np.uint64), unpacked(row["at"], np.uint32).astype(np.int64), unpacked(row["lengths"], np.int64)
+
+
+def blocks(chunks: DataFrame, parts: int, counted: bool, asked: bool) -> DataFrame:
+    """(BLOCK) the keys of each chunk by part, with their counts if ``counted``, and with the chunk to answer if ``asked``."""
 
-    return bounded_batches(df).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                known, at, lengths = chunk_arrays(row)
+                if not len(at):
+                    continue
+                keys, *places = keys_of(known, at, lengths)
+                n, good = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)
+                if counted:
+                    is_good = np.repeat(unpacked(row["good"], np.bool_), lengths)
+                    for place in places:
+                        n += np.bincount(place, minlength=len(keys)).astype(np.uint32)
+                        good += np.bincount(place[is_good], minlength=len(keys)).astype(np.uint32)
+                part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                edges = np.searchsorted(part, np.arange(parts + 1))
+                used = np.flatnonzero(np.diff(edges))
+                cutting = lambda x: pa.array([x[edges[p] : edges[p + 1]].tobytes() for p in used], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([row["chunk"] if asked else None] * len(used), pa.string()), cutting(keys), cutting(n), cutting(good)], schema=BLOCK_ARROW)
+
+    return chunks.mapInArrow(run, BLOCK)
+
+
+def answer(found: pa.Table) -> pa.Table:
+    """Counts of the whole corpus for each block of a part that a chunk asks for (REPLY)."""
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in found.column(name).to_pylist()])
+    keys, at = np.unique(joined("keys", np.uint64), return_inverse=True)
+    target, background = (np.bincount(at, joined(name, np.uint32), len(keys)).astype(np.int64)[at] for name in ("good", "n"))
+    out, end = [], 0
+    for chunk, part, data in zip(*(found.column(n).to_pylist() for n in ("chunk", "part", "keys")), strict=True):
+        start, end = end, end + len(data) // 8
+        if chunk is not None:
+            out.append({"chunk": chunk, "part": part, "target": packed(target[start:end]), "background": packed(background[start:end])})
+    return pa.Table.from_pylist(out, schema=REPLY_ARROW)
+
+
+# -- models ----------------------------------------------------------------------------
+
+
+def distinct_words(chunks: DataFrame) -> dict[str, int]:
+    """The vocabulary's size, empty without words."""
+    keys = F.udf(lambda data: np.frombuffer(data, np.int64).tolist(), "array<bigint>")
+    n = chunks.select(F.explode(keys("words")).alias("word")).distinct().count()
+    return {"words": n} if n else {}
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """The number of distinct words of all documents, as "words"; empty without any."""
+    return distinct_words(chunked(docs.select(quoted(text_col).alias(text_col)), text_col))
+
+
+@dataclass
+class Models:
+    """The corpus in chunks, with the totals of both models."""
+
+    docs: DataFrame
+    text_col: str
+    chunks: DataFrame
+    vocabulary: dict[str, int]
+    tokens: int
+    target: int
+
+
+def fit(docs: DataFrame, target: DataFrame, ids: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Models:
+    """Both models of ``docs``. ``target``: a bounded table of ids; ``ids``: the vocabulary, if it is known."""
+    id_name, good = names(docs, "target_id", "good")
+    wanted = target.select(quoted(id_col).alias(id_name)).distinct().withColumn(good, F.lit(True))
+    read = docs.join(F.broadcast(wanted), quoted(id_col) == F.col(id_name), "left").select(*(quoted(c) for c in docs.columns), F.coalesce(good, F.lit(False)).alias(good))
+    chunks = cut(chunked(read, text_col, good))
+    tokens, of_target = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    return Models(docs, text_col, chunks, distinct_words(chunks) if ids is None else ids, tokens, of_target)
+
+
+def score(df: DataFrame, ids: dict[str, int], models: Models, text_col: str = "text") -> DataFrame:
+    """``df`` without the text, plus n_tokens, target_loss, background_loss and score (in place of any so called)."""
+    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "target_loss", "background_loss", "score")]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score"))])
+    parts = max(1, math.ceil(models.tokens / PART_TOKENS))
+    if df is models.docs and text_col == models.text_col:
+        chunks, sent = models.chunks, blocks(models.chunks, parts, True, True)
+    else:
+        chunks = cut(chunked(df, text_col))
+        sent = blocks(models.chunks, parts, True, False).union(blocks(chunks, parts, False, True))
+    more = ids.get("words", 0) + 2
+    totals = float(models.target + more), float(models.tokens + more)
+    flat = not models.target  # no target: both are the background
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        known, at, lengths = chunk_arrays(row)
+        own = pa.ipc.open_stream(row["rows"]).read_all()
+        means = []
+        if len(at):
+            _, word, context, gram = keys_of(known, at, lengths)
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.argsort(right.column("part").to_numpy())
+            for name, total in zip(("background" if flat else "target", "background"), (totals[1] if flat else totals[0], totals[1]), strict=True):
+                data = right.column(name).to_pylist()
+                counts = np.concatenate([unpacked(data[i], np.int64) for i in order]).astype(np.float64)
+                means.append(np.bincount(of, bits(counts[gram], counts[context], counts[word], total), len(lengths)) / np.maximum(lengths, 1))
+        else:
+            means = [np.zeros(len(lengths))] * 2
+        return pa.Table.from_arrays([*(own.column(c) for c in keep), pa.array(lengths), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], names=schema.names)
+
+    replies = sent.groupBy("part").applyInArrow(answer, REPLY)
+    return chunks.drop("tokens", "target", "good").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def target_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TARGET_ROWS) -> DataFrame:
@@ -182,8 +291,8 @@ def target_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qual
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = vocabulary(docs)
-    return score(docs, ids, fit(docs, target_ids(table(spark, sf_dir, "labels")), ids))
+    models = fit(docs, target_ids(table(spark, sf_dir, "labels")))
+    return score(docs, models.vocabulary, models)
 
 
 QUERIES = {"op5_lm_scoring": op5_lm_scoring}

@@ -191,6 +191,18 @@ def plain_score(texts, good, text):
     return np.mean([loss(*models[0], p) - loss(*models[1], p) for p in pairs(text)])
 
 
+def test_lm_scoring_target_is_all_good_documents(spark):
+    rng = np.random.default_rng(6)
+    texts = {i: [f"v{x}" for x in rng.integers(0, 500, 8)] for i in range(21_000)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 20_500)) for i in range(21_000)] + [(5, 1), (None, 1)], "doc_id long, quality int")
+    ids = lm_scoring.vocabulary(df)
+    got = {r.doc_id: r for r in lm_scoring.score(df, ids, lm_scoring.fit(df, lm_scoring.target_ids(labels), ids)).collect()}
+    assert len(got) == 21_000
+    for i in (0, 20_499, 20_999):
+        assert abs(got[i].score - plain_score(texts, set(range(20_500)), texts[i])) < 1e-9
+
+
 def test_lm_scoring_counts_each_bigram_of_many_words(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PART_TOKENS", 200_000, raising=False)
     rng = np.random.default_rng(5)

@@ -1,9 +1,9 @@
 """Language-model scoring by cross-entropy difference.
 
-A target model (of a bounded sample of rows known as good) and a background model (of all
-documents) share one vocabulary and one smoothing, so they differ in their counts only. A
-document's score is the mean over its tokens of target loss minus background loss, in bits:
-the lower, the more it is like the target.
+A target model (of all rows known as good) and a background model (of all documents) share
+one vocabulary and one smoothing, so they differ in their counts only. A document's score is
+the mean over its tokens of target loss minus background loss, in bits: the lower, the more it
+is like the target.
 
 Every word of the corpus is in the vocabulary and every bigram is counted by itself, with
 Dirichlet smoothing by the unigrams of the same model. Texts are read once, in chunks. A chunk
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._util import bounded_batches, cut, names, quoted, table
+from ._util import bounded_batches, cut, names, quoted, split_by_ids, table
 from .toxicity import words
 
 #: Most words of the vocabulary: no limit.
@@ -44,8 +44,6 @@ VOCABULARY = None
 PART_TOKENS = 1_000_000
 #: Weight of the unigram model, in observations of the context.
 PRIOR = 64.0
-#: Documents of the target model at most (the first by a hash of the id).
-TARGET_ROWS = 20_000
 #: Words whose keys a task keeps.
 HELD_WORDS = 300_000
 #: Stands before the first word of a text.
@@ -106,6 +104,15 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, by their steps."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
 CHUNK = "chunk string, tokens long, target long, rows binary, lengths binary, good binary, words binary, at binary"
 BLOCK = "part int, chunk string, keys binary, n binary, good binary"
 REPLY = "chunk string, part int, target binary, background binary"
@@ -132,7 +139,7 @@ def chunked(df: DataFrame, text_col: str = "text", good_col: str | None = None)
                     out.write_batch(own)
                 yield pa.RecordBatch.from_pylist([{
                     "chunk": uuid.uuid4().hex, "tokens": len(every), "target": int(lengths[good].sum()), "rows": sink.getvalue().to_pybytes(), "lengths": packed(lengths), "good": packed(good),
-                    "words": known.tobytes(), "at": packed(at.astype(np.uint32)),
+                    "words": packed_keys(known), "at": packed(at.astype(np.uint32)),
                 }], schema=CHUNK_ARROW)
 
     return bounded_batches(df).mapInArrow(run, CHUNK)
@@ -170,7 +177,7 @@ def keys_of(known: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.
 
 
 def chunk_arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["words"], np.uint64), unpacked(row["at"], np.uint32).astype(np.int64), unpacked(row["lengths"], np.int64)
+    return unpacked_keys(row["words"]), unpacked(row["at"], np.uint32).astype(np.int64), unpacked(row["lengths"], np.int64)
 
 
 def blocks(chunks: DataFrame, parts: int, counted: bool, asked: bool) -> DataFrame:
@@ -193,20 +200,21 @@ def blocks(chunks: DataFrame, parts: int, counted: bool, asked: bool) -> DataFra
                 part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 edges = np.searchsorted(part, np.arange(parts + 1))
                 used = np.flatnonzero(np.diff(edges))
-                cutting = lambda x: pa.array([x[edges[p] : edges[p + 1]].tobytes() for p in used], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([row["chunk"] if asked else None] * len(used), pa.string()), cutting(keys), cutting(n), cutting(good)], schema=BLOCK_ARROW)
+                cutting = lambda x, pack: pa.array([pack(x[edges[p] : edges[p + 1]]) for p in used], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([row["chunk"] if asked else None] * len(used), pa.string()), cutting(keys, packed_keys), cutting(n, packed), cutting(good, packed)], schema=BLOCK_ARROW)
 
     return chunks.mapInArrow(run, BLOCK)
 
 
 def answer(found: pa.Table) -> pa.Table:
     """Counts of the whole corpus for each block of a part that a chunk asks for (REPLY)."""
-    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in found.column(name).to_pylist()])
-    keys, at = np.unique(joined("keys", np.uint64), return_inverse=True)
-    target, background = (np.bincount(at, joined(name, np.uint32), len(keys)).astype(np.int64)[at] for name in ("good", "n"))
+    asked = [unpacked_keys(x) for x in found.column("keys").to_pylist()]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    joined = lambda name: np.concatenate([unpacked(x, np.uint32) for x in found.column(name).to_pylist()])
+    target, background = (np.bincount(at, joined(name), len(keys)).astype(np.int64)[at] for name in ("good", "n"))
     out, end = [], 0
-    for chunk, part, data in zip(*(found.column(n).to_pylist() for n in ("chunk", "part", "keys")), strict=True):
-        start, end = end, end + len(data) // 8
+    for chunk, part, own in zip(found.column("chunk").to_pylist(), found.column("part").to_pylist(), asked, strict=True):
+        start, end = end, end + len(own)
         if chunk is not None:
             out.append({"chunk": chunk, "part": part, "target": packed(target[start:end]), "background": packed(background[start:end])})
     return pa.Table.from_pylist(out, schema=REPLY_ARROW)
@@ -217,7 +225,7 @@ def answer(found: pa.Table) -> pa.Table:
 
 def distinct_words(chunks: DataFrame) -> dict[str, int]:
     """The vocabulary's size, empty without words."""
-    keys = F.udf(lambda data: np.frombuffer(data, np.int64).tolist(), "array<bigint>")
+    keys = F.udf(lambda data: unpacked_keys(data).view(np.int64).tolist(), "array<bigint>")
     n = chunks.select(F.explode(keys("words")).alias("word")).distinct().count()
     return {"words": n} if n else {}
 
@@ -240,11 +248,17 @@ class Models:
 
 
 def fit(docs: DataFrame, target: DataFrame, ids: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """Both models of ``docs``. ``target``: a bounded table of ids; ``ids``: the vocabulary, if it is known."""
+    """Both models of ``docs``. ``target``: ids, any number of them; ``ids``: the vocabulary, if it is known.
+
+    Only texts whose id may be one of the target's, by a bitmap of bounded size, are joined with it.
+    """
     id_name, good = names(docs, "target_id", "good")
-    wanted = target.select(quoted(id_col).alias(id_name)).distinct().withColumn(good, F.lit(True))
-    read = docs.join(F.broadcast(wanted), quoted(id_col) == F.col(id_name), "left").select(*(quoted(c) for c in docs.columns), F.coalesce(good, F.lit(False)).alias(good))
-    chunks = cut(chunked(read, text_col, good))
+    wanted = cut(target.select(quoted(id_col)).distinct())
+    sure, rest = split_by_ids(docs, id_col, wanted)
+    wanted = wanted.select(quoted(id_col).alias(id_name))
+    columns = [quoted(c) for c in docs.columns]
+    met = rest.join(wanted, quoted(id_col) == F.col(id_name), "left").select(*columns, F.col(id_name).isNotNull().alias(good))
+    chunks = cut(chunked(sure.select(*columns, F.lit(False).alias(good)).union(met), text_col, good))
     tokens, of_target = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     return Models(docs, text_col, chunks, distinct_words(chunks) if ids is None else ids, tokens, of_target)
 
@@ -284,9 +298,8 @@ def score(df: DataFrame, ids: dict[str, int], models: Models, text_col: str = "t
     return chunks.drop("tokens", "target", "good").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def target_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TARGET_ROWS) -> DataFrame:
-    good = labels.filter((F.col(label_col) == 1) & quoted(id_col).isNotNull()).select(quoted(id_col)).distinct()
-    return good.orderBy(F.xxhash64(quoted(id_col)), quoted(id_col)).limit(rows)
+def target_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    return labels.filter((F.col(label_col) == 1) & quoted(id_col).isNotNull()).select(quoted(id_col)).distinct()
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

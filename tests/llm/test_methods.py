@@ -100,6 +100,18 @@ def test_op3_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def test_op3_learns_the_share_of_all_labels_from_a_capped_sample(spark):
+    """On held-out rows, with caps that bite, precision holds and scores add up to about the toxic rows."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, sample_rows=1000)
+    held = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").filter(toxicity.held_out(F.col("doc_id")))
+    got = toxicity.score(held, model).collect()
+    predicted = [r for r in got if r.score >= toxicity.THRESHOLD]
+    assert sum(r.toxic for r in predicted) / len(predicted) > 0.75
+    assert 0.8 < sum(r.score for r in got) / sum(r.toxic for r in got) < 1.25
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if c > "4" else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
 

@@ -9,7 +9,8 @@ as none, for they are what small samples make of ordinary words. A logistic curv
 on the same rows with each row's own counts left out, turns that into a probability.
 
 What is learnt is bounded: at most SAMPLE_ROWS labelled rows of each class (the first by a
-hash of the id) and MODEL_WORDS words. Scoring reads every whole text where it is.
+hash of the id) and MODEL_WORDS words. The curve weights a row by how many labelled rows of
+its class it stands for, so the share of toxic texts that it learns is that of all labels. Scoring reads every whole text where it is.
 
 Defined results: null and empty texts are scored by the curve at zero; without labelled rows
 of both classes every score is the share of toxic labels among them (0 if none); labels that
@@ -80,21 +81,23 @@ def features(found: list[str], difference: dict[str, float]) -> tuple[float, flo
     return math.sqrt(up / n), math.sqrt(down / n)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (the last is the constant) by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the constant) by Newton's method. ``rows``: how many rows each one stands for."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
-    w[-1] = math.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6))
-    penalty = ridge * len(y) * np.diag([1e-4] * (x.shape[1] - 1) + [0])
+    rows = np.ones(len(y)) if rows is None else rows
+    share = float(np.average(y, weights=rows))
+    w[-1] = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
+    penalty = ridge * rows.sum() * np.diag([1e-4] * (x.shape[1] - 1) + [0])
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + w @ penalty @ w / 2)
+        return float((rows * np.logaddexp(0, np.where(y > 0, -z, z))).sum() + w @ penalty @ w / 2)
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        slope = x.T @ (p - y) + penalty @ w
-        step = np.linalg.lstsq((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), slope, rcond=None)[0]
+        slope = x.T @ (rows * (p - y)) + penalty @ w
+        step = np.linalg.lstsq((x * (rows * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), slope, rcond=None)[0]
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
@@ -104,18 +107,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> DataFrame:
-    """(text, toxic) of a bounded sample; its ids, at most twice sample_rows, are broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic) of a bounded sample, and the number of labelled rows of each class; its ids, at most twice sample_rows, are broadcast."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(quoted(id_col)) & quoted(id_col).isNotNull()).groupBy(quoted(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     ids = docs.select(quoted(id_col).alias("_id"))
-    known = known.join(ids.distinct(), "_id", "left_semi")
+    known = cut(known.join(ids.distinct(), "_id", "left_semi"))
+    # Rows of documents, as in the sample: an id that occurs twice is two.
+    labelled = {r["toxic"]: r["n"] for r in ids.join(known, "_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     part = lambda c: known.filter(F.col("toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    return docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("text")).join(F.broadcast(part(0).union(part(1))), "_id").select("text", "toxic")
+    return docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("text")).join(F.broadcast(part(0).union(part(1))), "_id").select("text", "toxic"), labelled
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, model_words: int = MODEL_WORDS, discount: float = DISCOUNT, margin: float = MARGIN) -> tuple[dict[str, float], list[float]]:
     """(difference of each word that has one, weights of the curve)."""
-    sample = labelled_sample(bounded_batches(docs), labels, id_col, text_col, label_col, sample_rows)
+    sample, labelled = labelled_sample(bounded_batches(docs), labels, id_col, text_col, label_col, sample_rows)
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("before", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("ordinary", T.IntegerType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     freed = lambda c: F.sum(F.least(F.col(c), F.lit(discount)))
     totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("contexts").alias("contexts"), F.count("*").alias("words"), freed("toxic").alias("toxic_freed"), freed("ordinary").alias("ordinary_freed")).first().asDict()
     if not totals["toxic"] or not totals["ordinary"]:
-        share = sample.agg(F.avg("toxic")).first()[0]
+        share = labelled.get(1, 0) / max(1, labelled.get(0, 0) + labelled.get(1, 0))
         return {}, [0.0, 0.0, math.inf if share == 1 else -math.inf if not share else math.log(share / (1 - share))]
     told = counts.filter((F.col("toxic") > discount) | (F.col("ordinary") > discount)).orderBy((F.col("toxic") + F.col("ordinary")).desc(), "word").limit(model_words).toPandas()
     model = KneserNey(totals, discount, margin)
@@ -161,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), pa.array([int(v == 1) for v in toxic], pa.int32())], names=["up", "down", "y"])
 
     rows = sample.mapInArrow(score, "up double, down double, y int").toPandas().sort_values(["up", "down", "y"])
-    return difference, logistic(rows[["up", "down"]].to_numpy(), rows["y"].to_numpy(np.float64)).tolist()
+    y = rows["y"].to_numpy(np.float64)
+    stands_for = np.where(y > 0, labelled.get(1, 0) / max(1, y.sum()), labelled.get(0, 0) / max(1, len(y) - y.sum()))
+    return difference, logistic(rows[["up", "down"]].to_numpy(), y, rows=stands_for).tolist()
 
 
 def score(df: DataFrame, model: tuple[dict[str, float], list[float]], text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,14 +30,14 @@ def vocabulary():
     return bpe.WordBpe(bpe.vocabulary_path())
 
 
-@given(st.lists(st.text(max_size=40), max_size=8))
-@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.text(alphabet="aAbzÉéßẞñŒœµªº×÷ÿŸ\u212a\u212bİıσΣς'’.,$%<|>1٣\u0301 \x1c\x85\xa0\n", max_size=30), max_size=8))
+@settings(max_examples=300, deadline=None)
 def test_bpe_is_the_library(texts):
     from tokenizers import Tokenizer
 
     test_bpe_is_the_library.t = t = getattr(test_bpe_is_the_library, "t", None) or Tokenizer.from_file(bpe.vocabulary_path())
     words = bpe.loaded(bpe.vocabulary_path())
-    for text, data in zip(texts, bpe.Encoder(words.encode_chunks)(texts), strict=True):
+    for text, data in zip(texts, bpe.Encoder(words.encode_chunks)(pa.array(texts, pa.string())).to_pylist(), strict=True):
         want = t.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(data, "<u4").tolist() == want
         assert words.decode(want) == t.decode(want, skip_special_tokens=False)
@@ -48,12 +49,23 @@ def test_every_token_encodes_to_itself(vocabulary):
     assert all(got[w] == [i] for w, i in inner.items())
 
 
-def test_cache_generations(vocabulary, tokenizer):
-    e = bpe.Encoder(vocabulary.encode_chunks, keep=5)
-    texts = [f"alpha{i} beta{i % 3} gamma" for i in range(30)]
-    got = [np.frombuffer(x, "<u4").tolist() for i in range(0, 30, 4) for x in e(texts[i : i + 4])]
+def test_cache_is_bounded(tokenizer):
+    words = bpe.WordBpe(bpe.vocabulary_path())
+    words.held.most = 7
+    e = bpe.Encoder(words.encode_chunks, most=5)
+    texts = [f"alpha{i} beta{i % 3}. gamma {'long' * 50}{i}" for i in range(30)]
+    got = [np.frombuffer(x.as_py(), "<u4").tolist() for i in range(0, 30, 4) for x in e(pa.array(texts[i : i + 4]))]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert len(e.young) <= 5 + 12
+    assert len(e.held.keys) <= 5 and len(words.held.keys) <= 7
+    assert all(len(k.as_py()) <= bpe.CACHE_BYTES for k in e.held.keys)
+
+
+def test_long_lists_are_written_out_in_runs(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "JOINED_IDS", 8)
+    lists = [[5, 6, 7], [], list(range(100, 130)), [9], [], list(range(40, 49))]
+    ids = pa.array(lists, pa.list_(pa.int32())).slice(1)
+    assert [x.as_py().decode() for part in vocabulary.joined(ids, "decimals") for x in part] == [" ".join(map(str, x)) for x in lists[1:]]
+    assert [x.as_py().decode() for part in vocabulary.joined(ids, "tokens") for x in part] == [vocabulary.decode(x) for x in lists[1:]]
 
 
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=200), st.integers(1, 8))
@@ -378,7 +390,7 @@ def test_pipeline_against_brute_force(spark):
     whole = bpe.Encoder(bpe.WordBpe(bpe.vocabulary_path()).encode_chunks)
     for r in rows:
         if not base_spans(left[r.doc_id]) and r.piece == 0 and r.length < 4096:
-            (ids,) = whole([left[r.doc_id]])
+            (ids,) = whole(pa.array([left[r.doc_id]], pa.string())).to_pylist()
             assert r.ids_crc32 == zlib.crc32(ids + (1).to_bytes(4, "little"))
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,18 +83,13 @@ def tokenizer_encoder(path: str) -> bpe.Encoder:
 
     words = bpe.loaded(path)
     tokenize = Tokenizer.from_file(bpe.vocabulary_file(path)).model.tokenize
+    held = bpe.Recent(bpe.CACHE_WORDS)
 
-    def encode(chunks: Iterable[str]) -> dict[str, bytes]:
-        out = {}
-        for chunk in chunks:
-            ids: list[int] = []
-            for word in words.split(chunk):
-                if isinstance(word, int):
-                    ids.append(word)
-                else:
-                    ids += [t.id for t in tokenize(word)]
-            out[chunk] = np.array(ids, "<u4").tobytes()
-        return out
+    def encode_words(found: list[str]) -> list[bytes]:
+        return [bpe.packed_ids([t.id for t in tokenize(words.byte_letters(w))]) for w in found]
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        return words.chunks_by_words(chunks, lambda found: held(found, encode_words))
 
     return bpe.Encoder(encode)
 
@@ -108,10 +103,10 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer_encoder(vocabulary)
         for batch in batches:
-            for rows, texts in bpe.slices(batch, text_col):
+            for rows in bpe.runs(batch, text_col):
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, data in enumerate(encode(texts)):
-                    data += end
+                for i, data in enumerate(encode(rows.column(text_col))):
+                    data = data.as_py() + end
                     for k, at in enumerate(range(0, len(data), step)):
                         part = data[at : at + step]
                         of.append(i)

@@ -1,10 +1,10 @@
 """Exact deduplication by progressive refinement.
 
-Texts are grouped by length, groups of several by a hash of their prefix, and only what
-is still grouped is read in full and hashed. The surviving (length, prefix hash) keys go
-back to the scan as a bitmap of bounded size, so no text is ever shuffled; the groups
-themselves are aggregates of hashes, combined before the exchange, so a text with any
-number of copies is one row from each task.
+Three steps, each over what the one before leaves in groups of several: the length of the
+normalised text; a hash of that length and the first characters; the hash of the full text. What survives a step goes back to the next scan as a filter of bounded size, so no text is
+ever shuffled; the groups themselves are aggregates of lengths or hashes, combined before
+the exchange, so a text with any number of copies is one row from each task. Rows meet large
+groups by a bounded broadcast.
 
 Defined results: a null text is empty; texts are compared after every run of ASCII white
 space became one space; ids that are null sort last, and keep_id is null only if all ids of
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import bitmap_hit, bitmap_slot, cut, key_bitmap, names, quoted, split_by_ids, table
+from ._util import cut, join_groups, may_hold, names, quoted, table, without_dropped
 
 #: Characters of a text that the second step hashes.
 PREFIX_CHARS = 256
@@ -27,6 +27,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def several(keys: DataFrame) -> DataFrame:
+    """What occurs more than once in a column of hashes."""
+    (key,) = keys.columns
+    return cut(keys.groupBy(key).count().filter("count > 1").select(key))
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
     """``df``'s columns without the text, plus keep_id, group_size, kept and text_sha256 (in place of any so called).
 
@@ -34,44 +40,37 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     ``hash_all`` asks for it.
     """
     rest = [c for c in df.columns if c not in (text_col, "keep_id", "group_size", "kept", "text_sha256")]
-    row, norm, size, prefix, slot, bits, full = names(df, "row", "norm", "len", "prefix", "slot", "bits", "full")
+    row, norm, met, full, first_col, size = names(df, "row", "norm", "met", "full", "first", "size")
     read = df.select(*(quoted(c) for c in rest), normalised(quoted(text_col)).alias(norm))
-    # Step 1 and 2: lengths, then prefixes, of all rows; what stands alone is out.
-    key = F.xxhash64(F.length(norm), F.substring(norm, 1, PREFIX_CHARS))
-    cheap = read.select(F.length(norm).alias(size), key.alias(prefix))
-    grouped = cheap.groupBy(size, prefix).count().filter("count > 1")
-    wanted = F.broadcast(key_bitmap(grouped, F.col(prefix), slot, bits))
-    # Step 3: the full hash of survivors. Others get a key of their own from what is known of them.
-    keyed = read.withColumn(row, F.monotonically_increasing_id()).withColumn(size, F.length(norm)).withColumn(prefix, key)
-    hit = bitmap_hit(F.col(bits), F.col(prefix))
-    sha = F.sha2(norm, 256)
-    signed = keyed.withColumn(slot, bitmap_slot(F.col(prefix))).join(wanted, slot, "left").withColumn(full, sha if hash_all else F.when(hit, sha)).withColumn(bits, hit)
-    own = F.concat(F.lit("alone-"), F.hex(size), F.lit("-"), F.hex(prefix))
-    signed = cut(signed.select(*(quoted(c) for c in rest), row, full, bits, F.when(F.col(bits), F.col(full)).otherwise(own).alias(prefix)))
+    by_length = F.xxhash64(F.length(quoted(norm)))
+    by_prefix = F.xxhash64(F.length(quoted(norm)), F.substring(quoted(norm), 1, PREFIX_CHARS))
+    # Step 1: lengths.
+    lengths = several(read.select(by_length.alias("h")))
+    # Step 2: hashed prefixes, of texts whose length is not alone.
+    prefixes = several(may_hold(read.select(quoted(norm)), by_length, lengths, met).filter(quoted(met)).select(by_prefix.alias("h")))
+    # Step 3: the full hash, of texts whose prefix is not alone.
+    sha = F.sha2(quoted(norm), 256)
+    marked = may_hold(read, by_prefix, prefixes, met)
+    signed = cut(marked.select(*(quoted(c) for c in rest), F.monotonically_increasing_id().alias(row), quoted(met), (sha if hash_all else F.when(quoted(met), sha)).alias(full)))
     # A group's first row by id (nulls last), then by place; only groups of several come back.
-    first = F.struct(quoted(id_col).isNull().alias("a"), quoted(id_col).alias("b"), F.col(row).alias("c"))
-    groups = signed.filter(F.col(bits)).groupBy(prefix).agg(F.min(first).alias(norm), F.count("*").alias(size)).filter(F.col(size) > 1)
-    out = signed.join(groups, prefix, "left")
-    alone = F.col(size).isNull()
+    first = F.struct(quoted(id_col).isNull().alias("a"), quoted(id_col).alias("b"), quoted(row).alias("c"))
+    groups = cut(signed.filter(quoted(met)).groupBy(quoted(full)).agg(F.min(first).alias(first_col), F.count("*").alias(size)).filter(quoted(size) > 1))
+    out = join_groups(signed, groups, full, size)
+    alone = quoted(size).isNull()
     return out.select(
         *(quoted(c) for c in rest),
-        F.when(alone, quoted(id_col)).otherwise(F.col(norm)["b"]).alias("keep_id"),
-        F.coalesce(F.col(size), F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col(norm)["c"] == F.col(row))).alias("kept"),
-        F.col(full).alias("text_sha256"),
+        F.when(alone, quoted(id_col)).otherwise(quoted(first_col)["b"]).alias("keep_id"),
+        F.coalesce(quoted(size), F.lit(1)).cast("long").alias("group_size"),
+        (alone | (quoted(first_col)["c"] == quoted(row))).alias("kept"),
+        quoted(full).alias("text_sha256"),
     )
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that exact_dedup() keeps. Only texts of rows in doubt, those whose id has a copy dropped, are shuffled."""
-    signed = cut(exact_dedup(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "id", hash_all=True))
-    doubt = signed.filter("NOT kept").select(quoted("id").alias(id_col))
-    sure, rest = split_by_ids(df, id_col, doubt)
-    (sha,) = names(df, "sha")
-    kept = signed.filter("kept").select("id", "text_sha256").distinct()
-    rest = rest.withColumn(sha, F.sha2(normalised(quoted(text_col)), 256)).alias("r")
-    rest = rest.join(kept, (F.col(f"r.{sha}") == kept["text_sha256"]) & F.col(f"r.`{id_col}`").eqNullSafe(kept["id"]), "left_semi").dropDuplicates([sha])
-    return sure.union(rest.select(*(quoted(c) for c in df.columns)))
+    """The rows of ``df`` that exact_dedup() keeps. Only texts that may have copies are hashed in full, and none is shuffled unless its id repeats."""
+    signed = exact_dedup(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "id")
+    decided = cut(signed.filter("group_size > 1").select("id", F.col("text_sha256").alias("mark"), "kept"))
+    return without_dropped(df, id_col, F.sha2(normalised(quoted(text_col)), 256), decided)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import bounded_batches, cut, names, quoted, split_by_ids, table
+from ._util import bounded_batches, cut, join_groups, names, quoted, table, without_dropped
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -265,11 +265,12 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 def grouped(marked: DataFrame, mark: str, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``marked`` (id, mark, ..) with component_id and root, by the links (u, v) between distinct marks."""
-    points = cut(marked.groupBy(mark).agg(F.min("id").alias("least")))
+    points = cut(marked.groupBy(mark).agg(F.min("id").alias("least"), F.count("*").alias("copies")))
     roots = components(link(points))
-    of = points.join(roots, points[mark] == roots.node, "left").select(mark, "least", F.coalesce("root", mark).alias("root"))
-    first = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(of.join(first, "root").select(mark, "component_id", "root"), mark)
+    of = cut(points.join(roots, points[mark] == roots.node, "left").select(mark, "least", "copies", F.coalesce("root", mark).alias("root")))
+    first = cut(of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("marks")))
+    groups = cut(join_groups(of.drop("least"), first, "root", "marks").drop("marks"))
+    return join_groups(marked, groups, mark, "copies").drop("copies")
 
 
 # -- by similarity ---------------------------------------------------------------------
@@ -432,17 +433,14 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         marked = cut(grouped(cut(fingerprints(both)), "fp", links).select("id", "text_key", "component_id", "root"))
     else:
         marked = cut(similar(df, id_col, text_col, similarity).withColumnRenamed(id_col, "id"))
-    several = marked.groupBy("root").count().filter("count > 1").select("root")
-    several = cut(marked.join(several, "root", "left_semi"))
-    sure, rest = split_by_ids(df, id_col, several.select(F.col("id").alias(id_col)))
-    text_key, known, key, least, root = names(df, "text_key", "known", "key", "least", "root")
-    rest = rest.withColumn(text_key, F.md5(F.coalesce(quoted(text_col), F.lit(""))))
-    # By id and text a row is known; rows of no group of several only looked like one.
-    groups = several.select(F.col("id").alias(known), F.col("text_key").alias(key), F.col("component_id").alias(least), F.col("root").alias(root)).distinct()
-    met = rest.join(groups, (F.col(text_key) == F.col(key)) & quoted(id_col).eqNullSafe(F.col(known)), "left")
-    alone = met.filter(F.col(root).isNull())
-    first = met.filter(F.col(root).isNotNull() & F.col(known).eqNullSafe(F.col(least))).dropDuplicates([root])
-    return sure.union(alone.select(*(quoted(c) for c in sure.columns))).union(first.select(*(quoted(c) for c in sure.columns)))
+    several = cut(marked.groupBy("root").count().filter("count > 1"))
+    together = cut(join_groups(marked, several, "root", "count").filter("count IS NOT NULL").withColumn("row", F.monotonically_increasing_id()))
+    # The first row of a group by id, then by text and place.
+    first = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("text_key").alias("c"), F.col("row").alias("d"))
+    firsts = cut(together.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")))
+    decided = join_groups(together.select("id", "text_key", "root", first.alias("own")), firsts, "root", "n")
+    decided = cut(decided.select("id", F.col("text_key").alias("mark"), (F.col("own") == F.col("first")).alias("kept")))
+    return without_dropped(df, id_col, F.md5(F.coalesce(quoted(text_col), F.lit(""))), decided)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,27 +154,85 @@ def test_op4(spark, tmp_path):
         want = base_spans(texts[r.doc_id])
         line = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
-        assert ",".join(x for x in r.spans.split(",") if not x.startswith("term")) == line
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith(("term", "secret"))) == line
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[2] == k for x in want) for k in PLAIN]
 
 
-def test_disclosing_terms(spark):
-    words = ["".join(chr(97 + (7 * i + j) % 26) for j in range(5)) for i in range(40)]
-    rows = [(i, f"the {words[i]} Marvolo{'abc'[i % 3]} {words[-1 - i]} writes as marv{i % 3}@x.org often") for i in range(12)]
-    rows += [(100 + i, f"plain text writes the often {i}") for i in range(100)] + [(300, "elsewhere MARVOLOA too, not marvoloab")]
-    # A near copy many times over is no evidence.
-    rows += [(400 + i, f"same words Kopiert always here kop@x.org and more {'z' * i}") for i in range(9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+def plain_terms(texts):
+    """Disclosing terms of distinct texts, by dictionaries, with the default thresholds; matches and words by Python's patterns."""
+    import math
+
+    secret = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]{16})(?=(?:[A-Za-z]*[0-9]){3})(?=(?:[0-9]*[A-Za-z]){3})[A-Za-z0-9]+"
+    term = r"(?<![^\W_])(?=\d*[^\W\d_])[^\W_]{2,}"
+    texts = sorted(set(texts))
+    meets, near, of_entity, occurs = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    for k, text in enumerate(texts):
+        for w in re.findall(term, text.lower()):
+            occurs[w].add(k)
+        for kind, pattern in (PLAIN | {"secret": secret}).items():
+            spans = [m.span() for m in re.finditer(pattern, text)]
+            valid = {(a, b) for a, _, x, b in base_spans(text) if x == kind}
+            for (a, b), (_, left), (right, _) in zip(spans, [(0, 0), *spans], [*spans[1:], (len(text), 0)], strict=False):
+                if kind != "secret" and (a, b) not in valid:
+                    continue
+                value, number = text[a:b].lower(), re.sub("[^0-9]", "", text[a:b])
+                names = {"email": (value, value.split("@")[-1]), "ip": (value, value.rpartition(".")[0]), "card": (number, number[:6]), "phone": (number, number[:4]), "secret": (value, len(value))}[kind]
+                before, after = (" " * (left == 0 and a == spans[0][0]) + text[left:a])[-80:], (text[b:right] + " " * (b == spans[-1][1]))[:80]
+                before, after = (re.sub(r"^[^\W_]+|[^\W_]+$", "", x) for x in (before, after))
+                for entity in (f"{kind}={names[0]}", f"{kind}~{names[1]}", kind):
+                    of_entity[entity].add(k)
+                    for w in re.findall(term, f"{before}\n{after}".lower()):
+                        meets[w, entity].add(k)
+                        near[w].add(k)
+    out = {}
+    for (w, entity), together in meets.items():
+        p, content = len(together) / len(occurs[w]), math.log2(len(texts) / len(of_entity[entity]))
+        if p >= 0.5 and content > 0 and math.log2(p) + content >= 0.75 * content:
+            out.setdefault(w, []).append((p, together))
+    return texts, out
+
+
+def test_disclosing_terms_against_counts(spark):
+    """Whatever the operator finds has the plain probability; whatever meets an entity in many different texts is found."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    names = ["alpha", "bravo", "charlie", "delta", "echo"]
+    rng = np.random.default_rng(2)
+    filler = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    # A fixed signature in many different documents.
+    texts += [f"{filler(60)}. Contact Alissya Smythe, Akmelabs, a.s@labs.example.org" for _ in range(40)]
+    # Names with an address each, of one domain, and one staff number.
+    texts += [f"{filler(30)} {names[i % 5]}quist E4471x wrote from {names[i % 5]}@firm.example {filler(30)}" for i in range(60)]
+    # One text a hundred times with another word at its end: near copies are no evidence.
+    texts += [f"{' '.join(['kopiertes', 'wort'] + [f'w{i}ort' for i in range(40)])} kop@x.org {filler(1)}" for _ in range(100)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     keyed = df.select(pii.key_of(F.col("text")).alias("key"), "text")
-    terms = {r.term: round(r.probability, 3) for r in pii.disclosing_terms(keyed, bits=4.0)[0].collect()}
-    assert terms == {"marvoloa": 0.8, "marvolob": 1.0, "marvoloc": 1.0}
-    spans = {r.text: r.term_spans for r in pii.term_spans(keyed, bits=4.0).join(keyed, "key").collect()}
-    assert len(spans) == 13 and [tuple(s) for s in spans["elsewhere MARVOLOA too, not marvoloab"]] == [(10, 18, False)]
+    got = {r.term: r.probability for r in pii.disclosing_terms(keyed)[0].collect()}
+    distinct, want = plain_terms(texts)
+    shingle = lambda k: frozenset(zip(*(distinct[k].lower().split()[j:] for j in range(3)), strict=False))
+    for w, p in got.items():
+        assert any(abs(p - q) < 1e-12 for q, _ in want[w]), w
+    for w, found in want.items():
+        # Texts that share no shingle are different for sure.
+        apart = [t for _, t in found if len(t) >= 3 and sum(map(len, map(shingle, t))) == len(frozenset().union(*map(shingle, t)))]
+        if apart:
+            assert w in got, w
+    assert {"alissya", "smythe", "akmelabs", "alphaquist", "e4471x", "token"} <= set(got)
+    assert not {w for w in got if w.startswith(("kopiert", "w1", "w2"))}
+    spans = {r.text: r.term_spans for r in pii.term_spans(keyed).join(keyed, "key").collect()}
+    for text, found in spans.items():
+        assert [(s.start, s.end) for s in found] == [m.span() for m in re.finditer(r"(?<![^\W_])(?=\d*[^\W\d_])[^\W_]{2,}", text) if m[0].lower() in got]
+    assert len(spans) == sum(bool(set(re.findall(r"(?<![^\W_])(?=\d*[^\W\d_])[^\W_]{2,}", t.lower())) & set(got)) for t in set(texts))
+
+
+def test_op4_finds_terms(spark):
+    rows = pii.op4_pii(spark, "/root/testdata/sf0.01").collect()
+    assert sum("term:" in r.spans for r in rows) >= 3 and sum("secret:" in r.spans for r in rows) >= 3
 
 
 def test_running_sums(spark):
     sizes = [0, 1, 127, 128, 129, 1000]
-    for n, got in zip(sizes, spark.createDataFrame([(n, list(range(n))) for n in sizes], "n int, x array<long>").orderBy("n").select(pii.running(F.col("x"))).collect(), strict=True):
+    df = spark.createDataFrame([(n, list(range(n))) for n in sizes], "n int, x array<long>").orderBy("n").withColumn("b", pii.in_blocks(F.col("x"))).withColumn("s", pii.before(F.transform("b", pii.total)))
+    for n, got in zip(sizes, df.select(pii.running(F.col("b"), F.col("s"))).collect(), strict=True):
         assert got[0] == np.cumsum(range(n)).tolist()
 
 
@@ -182,37 +240,35 @@ def test_op5_against_plain_counts(spark):
     docs = spark.read.parquet(f"{DOCS}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{DOCS}/labels.parquet")
     rows = {r.doc_id: r for r in lm_scoring.op5_lm_scoring(spark, DOCS).collect()}
-    texts = {r.doc_id: toxicity.words(r.text) for r in docs.collect()}
-    count = collections.Counter(w for t in texts.values() for w in t)
-    ids = {w: i for i, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: lm_scoring.VOCABULARY])}
+    texts = {r.doc_id: re.findall(r"\w+", (r.text or "").lower()) for r in docs.collect()}
     good = {r.doc_id for r in labels.filter("quality = 1").collect()}
-    models = [lm_scoring.Counts(len(ids)) for _ in range(2)]
+    score = plain_scorer(texts, good)
     for i, t in texts.items():
-        for m, wanted in zip(models, (i in good, True), strict=True):
-            if wanted:
-                m.add([np.array([ids.get(w, len(ids)) for w in t], np.int64)])
-    for i, t in texts.items():
-        x = np.array([ids.get(w, len(ids)) for w in t], np.int64)
-        want = float(models[0].losses(x).mean() - models[1].losses(x).mean()) if len(x) else 0.0
-        assert abs(rows[i].score - want) < 1e-9 and rows[i].n_tokens == len(t)
+        assert abs(rows[i].score - (score(t) if t else 0.0)) < 1e-9 and rows[i].n_tokens == len(t)
     quality = {r.doc_id: r.quality for r in labels.collect()}
     mean = [np.mean([rows[i].score for i, q in quality.items() if q == k]) for k in (0, 1)]
     assert mean[1] < mean[0]
 
 
-def plain_score(texts, good, text):
-    """Cross-entropy difference by dictionaries, without a limit on words or bigrams."""
+def plain_scorer(texts, good):
+    """Cross-entropy difference by dictionaries, without a limit on words or bigrams; a text's end is a context's end too."""
     pairs = lambda t: list(zip(["", *t[:-1]], t, strict=True))
     models = []
     for some in ([t for i, t in texts.items() if i in good], list(texts.values())):
         grams = collections.Counter(p for t in some for p in pairs(t))
-        models.append((grams, collections.Counter(p[0] for t in some for p in pairs(t)), collections.Counter(w for t in some for w in t)))
+        ends = collections.Counter(t[-1] for t in some if t)
+        models.append((grams, collections.Counter(p[0] for t in some for p in pairs(t)) + ends, collections.Counter(w for t in some for w in t)))
     size = len(models[1][2])
 
-    def loss(grams, contexts, unigrams, p):
-        return -np.log2((grams[p] + lm_scoring.PRIOR * (unigrams[p[1]] + 1) / (unigrams.total() + size + 2)) / (contexts[p[0]] + lm_scoring.PRIOR))
+    def loss(grams, contexts, unigrams, total, p):
+        return -np.log2((grams[p] + lm_scoring.PRIOR * (unigrams[p[1]] + 1) / (total + size + 2)) / (contexts[p[0]] + lm_scoring.PRIOR))
+
+    models = [(*m, m[2].total()) for m in models]
+    return lambda text: np.mean([loss(*models[0], p) - loss(*models[1], p) for p in pairs(text)])
 
-    return np.mean([loss(*models[0], p) - loss(*models[1], p) for p in pairs(text)])
+
+def plain_score(texts, good, text):
+    return plain_scorer(texts, good)(text)
 
 
 def test_lm_scoring_target_is_all_good_documents(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import vectors as V
 from tokenloom.index import Index, Reranker
 from tokenloom.operators import corpora, metrics, packing, pooling, scoring, search
+from tokenloom.sources import views
 
 DOCS = {0: 1, 1: 2, 2: 0, 3: 4}
 
@@ -33,7 +34,7 @@ def expected(mats, q, reducer, w, tau=0.7):
             s = q[i] @ m.astype(np.float64).T
             if not len(m):
                 out[i, d] = 0.0
-            elif reducer in ("maxsim", "weighted_maxsim"):
+            elif reducer in ("best_match", "weighted_best_match"):
                 out[i, d] = float((s.max(1) * (w if reducer[0] == "w" else 1)).sum())
             elif reducer == "smoothsim":
                 out[i, d] = float((tau * np.log(np.exp(s / tau).sum(1))).sum())
@@ -46,7 +47,7 @@ def expected(mats, q, reducer, w, tau=0.7):
 def test_reducers(data, reducer):
     tokens, docs, queries, mats, q, w = data
     nested = scoring.nest(PACK_DENSE(tokens), docs, "codes", "token_scale")
-    weighted = reducer == "weighted_maxsim"
+    weighted = reducer == "weighted_best_match"
     got = scoring.score(nested, scoring.query_batch(queries, weight=F.col("weight") if weighted else None), reducer, 0.7 if reducer == "smoothsim" else 1.0).collect()
     want = expected(mats, q, reducer, w)
     assert len(got) == len(want)
@@ -94,7 +95,7 @@ def test_validation(spark, data):
     tokens, docs, queries, *_ = data
     with pytest.raises(ValueError, match="divisible by 8"):
         packing.require(spark.createDataFrame([([1.0] * 7,)], "emb array<float>"))
-    for args in (("nosuch", 1.0, False), ("maxsim", 0.0, False), ("weighted_maxsim", 1.0, False), ("maxsim", 1.0, True)):
+    for args in (("nosuch", 1.0, False), ("best_match", 0.0, False), ("weighted_best_match", 1.0, False), ("best_match", 1.0, True)):
         with pytest.raises(ValueError):
             scoring.check(*args)
     with pytest.raises(ValueError):
@@ -183,3 +184,15 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_products_are_bounded(spark, monkeypatch):
+    """Scores and each task's best are the same whatever is multiplied at a time."""
+    t = views.load(spark, "/root/testdata/sf0.001")
+    nested = scoring.nest(packing.pack_signs(t.doc_tokens), t.docs, "codes", "token_scale")
+    batch = scoring.query_batch(t.query_tokens)
+    rows = lambda df: sorted((r.query_idx, r.doc_idx, round(r.score, 9)) for r in df.collect())
+    whole, best = rows(scoring.score(nested, batch)), rows(search.top_k(scoring.score(nested, batch, top=3, digits=6), 3))
+    monkeypatch.setattr(scoring, "PRODUCT", 40)
+    assert rows(scoring.score(nested, batch)) == whole
+    assert rows(search.top_k(scoring.score(nested, batch, top=3, digits=6), 3)) == best

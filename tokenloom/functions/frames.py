@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the cluster's ``spark.checkpoint.dir``; only a session on one machine may leave that unset."""
     import tempfile
 
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenloom-checkpoint-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tokenloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def by_range(df: DataFrame, order) -> DataFrame:
     """``df`` dealt out by range of ``order`` with the range's number in column ``part``; fixed, so that later reads see the same ranges."""
-    return _checkpointed(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    return checkpointed(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
 
 
 def global_row_number(df: DataFrame, order, name: str) -> DataFrame:

@@ -139,18 +139,18 @@ class Reranker:
 
     def _check(self, reducer: str, temperature: float, weighted: bool) -> None:
         scoring.check(reducer, temperature, weighted)
-        if self.index.mode == "binary_q40" and reducer != "maxsim":
-            raise ValueError("binary_q40 supports maxsim only")
+        if self.index.mode == "binary_q40" and reducer != "best_match":
+            raise ValueError("binary_q40 supports best_match only")
 
-    def search(self, queries: DataFrame, k: int = 10, rescore_candidates: int | None = None, reducer: str = "maxsim", query_weights: bool = False, temperature: float = 1.0, int4_query: str = "float") -> DataFrame:
-        """(query_idx, rank, doc_id, score); with int4_query="int8", int4 documents meet int8 query codes (maxsim over
+    def search(self, queries: DataFrame, k: int = 10, rescore_candidates: int | None = None, reducer: str = "best_match", query_weights: bool = False, temperature: float = 1.0, int4_query: str = "float") -> DataFrame:
+        """(query_idx, rank, doc_id, score); with int4_query="int8", int4 documents meet int8 query codes (best_match over
         the whole index only). ``queries``: query_idx, q_pos, qemb and, if weighted, weight."""
         self._check(reducer, temperature, query_weights)
         if k < 1:
             raise ValueError("k must be at least 1")
         if int4_query not in ("float", "int8"):
             raise ValueError("int4_query must be float or int8")
-        if int4_query == "int8" and self.index.mode in ("int4", "int4_per_token") and reducer == "maxsim":
+        if int4_query == "int8" and self.index.mode in ("int4", "int4_per_token") and reducer == "best_match":
             coded = packing.pack_int8(queries, "qemb")
             queries = coded.withColumn("qemb", F.transform("codes", lambda c: c * F.col("token_scale")))
         batch = scoring.query_batch(queries, weight=F.col("weight") if query_weights else None)
@@ -167,7 +167,7 @@ class Reranker:
         fine = scoring.score(few, batch, reducer, temperature).join(coarse, ["query_idx", "doc_idx"])
         return search.with_ids(search.top_k(fine, k), docs)
 
-    def rerank(self, queries: DataFrame, candidate_ids: list[str], k: int = 10, reducer: str = "maxsim", query_weights: bool = False, temperature: float = 1.0) -> DataFrame:
+    def rerank(self, queries: DataFrame, candidate_ids: list[str], k: int = 10, reducer: str = "best_match", query_weights: bool = False, temperature: float = 1.0) -> DataFrame:
         """Candidates by score; repeated ones count once, ties go to the earlier; an unknown id is a KeyError."""
         self._check(reducer, temperature, query_weights)
         spark = self.index.table.sparkSession

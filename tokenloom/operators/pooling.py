@@ -15,7 +15,7 @@ def ward_labels(x: np.ndarray, target: int) -> np.ndarray:
     if n <= target:
         return np.arange(n)
     # Squared Ward distances, updated in place; merges are cut off by height afterwards.
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    d = np.concatenate([((x[i : i + 16, None, :] - x[None, :, :]) ** 2).sum(-1) for i in range(0, n, 16)])  # in blocks of rows: n x n, not n x n x dim
     np.fill_diagonal(d, np.inf)
     size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
     while len(merges) < n - 1:

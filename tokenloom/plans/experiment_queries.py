@@ -10,7 +10,7 @@ from ..operators import corpora, experiments, metrics, packing, scoring, search
 from ..sources import views
 from . import retrieval as R
 from .corpus_queries import _FEW, _key, best_relevant
-from .retrieval import _CODES, _DENSE, _FITS, _LOG16, _S127, _SIGNS, _TWO, _metric_sql, _per, _r6, _R6, _scored, _scored_sql, _second, query, score_sql, top_sql
+from .retrieval import _cascaded, _CODES, _DENSE, _FITS, _LOG16, _S127, _SIGNS, _TWO, _metric_sql, _per, _r6, _R6, _scored, _scored_sql, _second, query, score_sql, top_sql
 
 
 @query("int8_query_pack", f"SELECT query_idx, q_pos, {_CODES.format(_S127.replace('emb', 'qemb'), 127, 'qemb')} AS codes, {_S127.replace('emb', 'qemb')}::DOUBLE AS token_scale FROM query_tokens")
@@ -68,23 +68,23 @@ def _restored(s, d):
 
 @query("score_checksum", f"{_TWO} SELECT count(*) AS pairs, round(sum(b.score), 3) AS checksum, round(max(abs(b.score - a.score)), 4) AS max_delta FROM scores_b b JOIN scores a USING (query_idx, doc_idx)")
 def _checksum(s, d):
-    out = experiments.checksum(_scored(s, d, "binary_maxsim"), _scored(s, d, "dense_maxsim"))
+    out = experiments.checksum(_scored(s, d, "binary_best_match"), _scored(s, d, "dense_best_match"))
     return out.select("pairs", F.round("checksum", 3).alias("checksum"), F.round("max_delta", 4).alias("max_delta"))
 
 
 @query("recall_of_rescore", f"{_TWO}, a AS {top_sql(10)}, b AS {top_sql(20, 'scores_b')} SELECT round(avg((b.doc_idx IS NOT NULL)::INT), 6) AS recall FROM a LEFT JOIN b USING (query_idx, doc_idx)")
 def _recall_of(s, d):
-    return experiments.recall_of(_scored(s, d, "dense_maxsim"), _scored(s, d, "binary_maxsim"), 10, 20).select(*_r6("recall"))
+    return experiments.recall_of(_scored(s, d, "dense_best_match"), _scored(s, d, "binary_best_match"), 10, 20).select(*_r6("recall"))
 
 
 @query("cascade_binary_dense", f"{_TWO}, kept AS (SELECT query_idx, doc_idx FROM {top_sql(20, 'scores_b')}), fine AS (SELECT scores.* FROM scores JOIN kept USING (query_idx, doc_idx)) SELECT query_idx, rank, doc_id, score FROM {top_sql(5, 'fine')} JOIN docs USING (doc_idx)")
 def _cascade(s, d):
-    return search.with_ids(search.cascade(_scored(s, d, "binary_maxsim"), _scored(s, d, "dense_maxsim"), 20, 5), views.load(s, d).docs)
+    return search.with_ids(_cascaded(s, d, "binary_best_match", "dense_best_match", 20, 5), views.load(s, d).docs)
 
 
 @query("rankings_export", f"{_DENSE}, r AS {top_sql(10)} SELECT query_idx, list(doc_id ORDER BY rank) AS doc_ids, list(score ORDER BY rank) AS scores FROM r JOIN docs USING (doc_idx) GROUP BY query_idx")
 def _export(s, d):
-    ranked = search.with_ids(search.top_k(_scored(s, d, "dense_maxsim"), 10), views.load(s, d).docs)
+    ranked = search.with_ids(search.top_k(_scored(s, d, "dense_best_match"), 10), views.load(s, d).docs)
     row = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score")))
     return ranked.groupBy("query_idx").agg(row.alias("r")).select("query_idx", F.transform("r", lambda x: x["doc_id"]).alias("doc_ids"), F.transform("r", lambda x: x["score"]).alias("scores"))
 
@@ -104,7 +104,7 @@ _PER2 = f"{_TWO}{_metric_sql('scores')}{_metric_sql('scores_b', suffix='_b')}"
     SELECT dataset, round(dense, 6) AS dense, round("binary", 6) AS "binary" FROM r UNION ALL SELECT 'mean', round(avg(dense), 6), round(avg("binary"), 6) FROM r""")
 def _table(s, d):
     rows = None
-    for key, name in (("dense", "dense_maxsim"), ("binary", "binary_maxsim")):
+    for key, name in (("dense", "dense_best_match"), ("binary", "binary_best_match")):
         one = _per(s, d, name).select((F.col("query_idx") % 3).cast("string").alias("dataset"), F.lit(key).alias("implementation"), "ndcg")
         rows = one if rows is None else rows.union(one)
     wide = rows.groupBy("dataset").pivot("implementation", ["dense", "binary"]).agg(F.avg("ndcg"))
@@ -117,7 +117,7 @@ def _table(s, d):
     SELECT implementation, round(ndcg, 6) AS ndcg, round(ndcg - (SELECT ndcg FROM m WHERE implementation = 'dense'), 6) AS delta, (w * n * dim)::BIGINT AS bytes, round(4 / w, 4)::DOUBLE AS compression FROM m, z""")
 def _rows(s, d):
     rows = None
-    for key, name, width in (("dense", "dense_maxsim", 4.0), ("binary", "binary_maxsim", 0.125)):
+    for key, name, width in (("dense", "dense_best_match", 4.0), ("binary", "binary_best_match", 0.125)):
         one = metrics.summary(_per(s, d, name)).select(F.lit(key).alias("implementation"), "ndcg", F.lit(width).alias("w"))
         rows = one if rows is None else rows.union(one)
     z = views.load(s, d).doc_tokens.agg(F.count("*").alias("n"), F.max(F.size("emb")).alias("dim"))
@@ -152,8 +152,8 @@ def _sign(s, d):
 
 @query("paired_bootstrap")
 def _bootstrap(s, d):
-    a, b = (_per(s, d, n).select("query_idx", F.col("ndcg").alias(n)) for n in ("dense_maxsim", "binary_maxsim"))
-    return experiments.bootstrap(a.join(b, "query_idx").select((F.col("binary_maxsim") - F.col("dense_maxsim")).alias("delta")))
+    a, b = (_per(s, d, n).select("query_idx", F.col("ndcg").alias(n)) for n in ("dense_best_match", "binary_best_match"))
+    return experiments.bootstrap(a.join(b, "query_idx").select((F.col("binary_best_match") - F.col("dense_best_match")).alias("delta")))
 
 
 @query("nested_scale_materialize", f"""{_FEW}, o AS (SELECT doc_idx, doc_id, 0 AS tier, {_key('relevant')} AS k FROM good UNION ALL SELECT doc_idx, doc_id, 1, {_key('distractor')} FROM other),

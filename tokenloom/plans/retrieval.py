@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.frames import checkpointed
 from ..operators import metrics, packing, pooling, scoring, search
 from ..sources import views
 
@@ -129,11 +130,11 @@ for _name, (_sql, _fit) in _FITS.items():
 DOUBLES = "[v::DOUBLE for v in {0}]"
 
 
-def score_sql(docs: str, queries: str = "SELECT query_idx, q_pos, [v::DOUBLE for v in qemb] AS q, 1.0 AS w FROM query_tokens", reducer: str = "maxsim", tau: float = 0.7, scaled: bool = False) -> str:
+def score_sql(docs: str, queries: str = "SELECT query_idx, q_pos, [v::DOUBLE for v in qemb] AS q, 1.0 AS w FROM query_tokens", reducer: str = "best_match", tau: float = 0.7, scaled: bool = False) -> str:
     """CTE ``scores`` (query_idx, doc_idx, score); ``docs`` selects doc_idx, e (doubles), ts."""
     ds = "coalesce(g.doc_scale, 0)" if scaled else "1.0"
     before, after = (f"* {ds}", "") if reducer == "smoothsim" else ("", f"* {ds}")
-    per = {"maxsim": "max(s)", "weighted_maxsim": "any_value(w) * max(s)", "topk2": "list_avg(list_sort(list(s), 'DESC')[1:2])", "topk4": "list_avg(list_sort(list(s), 'DESC')[1:4])", "smoothsim": f"max(m) + {tau} * ln(sum(exp((s - m) / {tau})))"}[reducer]
+    per = {"best_match": "max(s)", "weighted_best_match": "any_value(w) * max(s)", "topk2": "list_avg(list_sort(list(s), 'DESC')[1:2])", "topk4": "list_avg(list_sort(list(s), 'DESC')[1:4])", "smoothsim": f"max(m) + {tau} * ln(sum(exp((s - m) / {tau})))"}[reducer]
     return f""", dq AS ({queries}), dd AS ({docs}), dg AS {_DOC_SCALE},
     p0 AS (SELECT query_idx, q_pos, w, doc_idx, list_inner_product(q, e) * ts {before} AS s FROM dq, dd LEFT JOIN dg g USING (doc_idx)),
     p1 AS (SELECT *, max(s) OVER (PARTITION BY query_idx, q_pos, doc_idx) AS m FROM p0),
@@ -190,7 +191,7 @@ def plain_codes(t: DataFrame) -> DataFrame:
 _RES_D = "SELECT doc_idx, [codes[i] * token_scale + residual_codes[i] * residual_scale for i in range(1, len(codes) + 1)] AS e, 1.0 AS ts FROM res"
 
 
-def scores(s: SparkSession, d: str, pack: Callable[[DataFrame], DataFrame], ask: Callable[[DataFrame], DataFrame] = lambda q: q, reducer: str = "maxsim", scaled: bool = False, weight: Column | None = None, only: Callable[[DataFrame], DataFrame] | None = None, top: int | None = None) -> DataFrame:
+def scores(s: SparkSession, d: str, pack: Callable[[DataFrame], DataFrame], ask: Callable[[DataFrame], DataFrame] = lambda q: q, reducer: str = "best_match", scaled: bool = False, weight: Column | None = None, only: Callable[[DataFrame], DataFrame] | None = None, top: int | None = None) -> DataFrame:
     t = views.load(s, d)
     tokens, docs = t.doc_tokens, t.docs
     if only:
@@ -200,7 +201,7 @@ def scores(s: SparkSession, d: str, pack: Callable[[DataFrame], DataFrame], ask:
     if scaled:
         nested = nested.join(packing.doc_scale(tokens, docs), "doc_idx")
     batch = scoring.query_batch(ask(t.query_tokens), weight=weight)
-    return scoring.score(nested, batch, reducer, 0.7 if reducer == "smoothsim" else 1.0, scaled, top).withColumn("score", F.round(F.col("score") + 0.0, DIGITS))
+    return scoring.score(nested, batch, reducer, 0.7 if reducer == "smoothsim" else 1.0, scaled, top, DIGITS).withColumn("score", F.round(F.col("score") + 0.0, DIGITS))
 
 
 _Q40, _ZERO = _FITS["centroid_q40_fit"], _FITS["centroid_fit"]
@@ -211,31 +212,31 @@ _MEDIAN = f"{_UNNEST}, th AS (SELECT list(t ORDER BY d) AS t FROM (SELECT d, qua
 
 #: name: (pack, queries, reducer, doc scale, SQL before, SQL of documents, SQL of queries)
 FORMATS: dict[str, tuple] = {
-    "dense_maxsim": (dense, None, "maxsim", False, "", _PLAIN, None),
-    "weighted_maxsim": (dense, "w", "weighted_maxsim", False, "", _PLAIN, _QW),
+    "dense_best_match": (dense, None, "best_match", False, "", _PLAIN, None),
+    "weighted_best_match": (dense, "w", "weighted_best_match", False, "", _PLAIN, _QW),
     "topk2": (dense, None, "topk2", False, "", _PLAIN, None),
     "topk4": (dense, None, "topk4", False, "", _PLAIN, None),
     "smoothsim": (dense, None, "smoothsim", False, "", _PLAIN, None),
-    "binary_maxsim": (packing.pack_signs, None, "maxsim", False, "", _SIGN_D.format("1.0"), None),
-    "binary_binary_maxsim": (packing.pack_signs, sign_queries, "maxsim", False, "", _SIGN_D.format("1.0"), _QSIGN),
-    "int8q_binary_maxsim": (packing.pack_signs, int8_queries, "maxsim", False, "", _SIGN_D.format("1.0"), _Q8),
-    "token_scale_maxsim": (scaled_signs("mean_abs"), None, "maxsim", False, "", _SIGN_D.format(f"{_MEAN}::DOUBLE"), None),
-    "token_scale_fp16_maxsim": (scaled_signs("fp16"), None, "maxsim", False, "", _SIGN_D.format(_fp16(_MEAN)), None),
-    "token_scale_u4_maxsim": (scaled_signs("u4"), None, "maxsim", False, _LOG16, f"SELECT doc_idx, {DOUBLES.format(_SIGNS)} AS e, exp(lo + round_even((v - lo) / ((hi - lo) / 15), 0) * ((hi - lo) / 15)) AS ts FROM l, m", None),
-    "doc_scale_maxsim": (packing.pack_signs, None, "maxsim", True, "", _SIGN_D.format("1.0"), None),
+    "binary_best_match": (packing.pack_signs, None, "best_match", False, "", _SIGN_D.format("1.0"), None),
+    "binary_binary_best_match": (packing.pack_signs, sign_queries, "best_match", False, "", _SIGN_D.format("1.0"), _QSIGN),
+    "int8q_binary_best_match": (packing.pack_signs, int8_queries, "best_match", False, "", _SIGN_D.format("1.0"), _Q8),
+    "token_scale_best_match": (scaled_signs("mean_abs"), None, "best_match", False, "", _SIGN_D.format(f"{_MEAN}::DOUBLE"), None),
+    "token_scale_fp16_best_match": (scaled_signs("fp16"), None, "best_match", False, "", _SIGN_D.format(_fp16(_MEAN)), None),
+    "token_scale_u4_best_match": (scaled_signs("u4"), None, "best_match", False, _LOG16, f"SELECT doc_idx, {DOUBLES.format(_SIGNS)} AS e, exp(lo + round_even((v - lo) / ((hi - lo) / 15), 0) * ((hi - lo) / 15)) AS ts FROM l, m", None),
+    "doc_scale_best_match": (packing.pack_signs, None, "best_match", True, "", _SIGN_D.format("1.0"), None),
     "doc_scale_smoothsim": (packing.pack_signs, None, "smoothsim", True, "", _SIGN_D.format("1.0"), None),
-    "group16_maxsim": (packing.pack_group_scaled_signs, None, "maxsim", False, "", "SELECT doc_idx, [(CASE WHEN emb[i] >= 0 THEN 1 ELSE -1 END) * (list_sum([abs(x::DOUBLE) for x in emb[((i - 1) // 16) * 16 + 1 : ((i - 1) // 16) * 16 + 16]]) / 16)::FLOAT::DOUBLE for i in range(1, len(emb) + 1)] AS e, 1.0 AS ts FROM doc_tokens", None),
-    "threshold_sign_maxsim": (packing.pack_threshold_signs, None, "maxsim", False, _MEDIAN, "SELECT doc_idx, [CASE WHEN emb[i]::DOUBLE >= t[i] THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END for i in range(1, len(emb) + 1)] AS e, 1.0 AS ts FROM doc_tokens, th", None),
-    "centroid_maxsim": (lambda t: packing.pack_centroid_signs(t, packing.fit_centroids(t)), None, "maxsim", False, _ZERO[0] + _FIT_ROW, _CENTROID_D, None),
-    "centroid_q40_maxsim": (lambda t: packing.pack_centroid_signs(t, packing.fit_centroids(t, packing.fit_thresholds(t))), None, "maxsim", False, _Q40[0] + _FIT_ROW, _CENTROID_D, None),
-    "ternary_maxsim": (lambda t: packing.pack_ternary(t, 0.05), None, "maxsim", False, "", "SELECT doc_idx, [CASE WHEN x > 0.05::DOUBLE THEN 1.0::DOUBLE WHEN x < -0.05::DOUBLE THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END for x in [v::DOUBLE for v in emb]] AS e, 1.0 AS ts FROM doc_tokens", None),
-    "int4_maxsim": (packing.pack_int4, None, "maxsim", False, "", _INT4_D, None),
-    "int4_tensor_maxsim": (tensor_int4, None, "maxsim", False, "", _TENSOR_D, None),
-    "int8_maxsim": (packing.pack_int8, None, "maxsim", False, "", f"SELECT doc_idx, {DOUBLES.format(_CODES.format(_S127, 127, 'emb'))} AS e, {_S127}::DOUBLE AS ts FROM doc_tokens", None),
-    "int8q_int8_maxsim": (packing.pack_int8, int8_queries, "maxsim", False, "", f"SELECT doc_idx, {DOUBLES.format(_CODES.format(_S127, 127, 'emb'))} AS e, {_S127}::DOUBLE AS ts FROM doc_tokens", _Q8),
-    "int8q_int4_maxsim": (packing.pack_int4, int8_queries, "maxsim", False, "", _INT4_D, _Q8),
-    "residual_score": (residual_values, None, "maxsim", False, _RES, _RES_D, None),
-    "prefix_score": (packing.pack_int4, None, "maxsim", False, "", _INT4_D, None),
+    "group16_best_match": (packing.pack_group_scaled_signs, None, "best_match", False, "", "SELECT doc_idx, [(CASE WHEN emb[i] >= 0 THEN 1 ELSE -1 END) * (list_sum([abs(x::DOUBLE) for x in emb[((i - 1) // 16) * 16 + 1 : ((i - 1) // 16) * 16 + 16]]) / 16)::FLOAT::DOUBLE for i in range(1, len(emb) + 1)] AS e, 1.0 AS ts FROM doc_tokens", None),
+    "threshold_sign_best_match": (packing.pack_threshold_signs, None, "best_match", False, _MEDIAN, "SELECT doc_idx, [CASE WHEN emb[i]::DOUBLE >= t[i] THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END for i in range(1, len(emb) + 1)] AS e, 1.0 AS ts FROM doc_tokens, th", None),
+    "centroid_best_match": (lambda t: packing.pack_centroid_signs(t, packing.fit_centroids(t)), None, "best_match", False, _ZERO[0] + _FIT_ROW, _CENTROID_D, None),
+    "centroid_q40_best_match": (lambda t: packing.pack_centroid_signs(t, packing.fit_centroids(t, packing.fit_thresholds(t))), None, "best_match", False, _Q40[0] + _FIT_ROW, _CENTROID_D, None),
+    "ternary_best_match": (lambda t: packing.pack_ternary(t, 0.05), None, "best_match", False, "", "SELECT doc_idx, [CASE WHEN x > 0.05::DOUBLE THEN 1.0::DOUBLE WHEN x < -0.05::DOUBLE THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END for x in [v::DOUBLE for v in emb]] AS e, 1.0 AS ts FROM doc_tokens", None),
+    "int4_best_match": (packing.pack_int4, None, "best_match", False, "", _INT4_D, None),
+    "int4_tensor_best_match": (tensor_int4, None, "best_match", False, "", _TENSOR_D, None),
+    "int8_best_match": (packing.pack_int8, None, "best_match", False, "", f"SELECT doc_idx, {DOUBLES.format(_CODES.format(_S127, 127, 'emb'))} AS e, {_S127}::DOUBLE AS ts FROM doc_tokens", None),
+    "int8q_int8_best_match": (packing.pack_int8, int8_queries, "best_match", False, "", f"SELECT doc_idx, {DOUBLES.format(_CODES.format(_S127, 127, 'emb'))} AS e, {_S127}::DOUBLE AS ts FROM doc_tokens", _Q8),
+    "int8q_int4_best_match": (packing.pack_int4, int8_queries, "best_match", False, "", _INT4_D, _Q8),
+    "residual_score": (residual_values, None, "best_match", False, _RES, _RES_D, None),
+    "prefix_score": (packing.pack_int4, None, "best_match", False, "", _INT4_D, None),
 }
 
 
@@ -260,45 +261,45 @@ for _name in FORMATS:
 def _top(name: str, key: str, k: int = 10) -> None:
     @query(key, f"{_scored_sql(name)} SELECT query_idx, rank, doc_id, score FROM {top_sql(k)} JOIN docs USING (doc_idx)")
     def run(s, d):
-        return search.with_ids(search.top_k(_scored(s, d, name), k), views.load(s, d).docs)
+        return search.with_ids(search.top_k(_scored(s, d, name, top=k), k), views.load(s, d).docs)
 
 
-_top("dense_maxsim", "search_topk")
-_top("int4_maxsim", "int4_topk")
-_top("ternary_maxsim", "ternary_topk")
-_top("centroid_q40_maxsim", "centroid_topk")
+_top("dense_best_match", "search_topk")
+_top("int4_best_match", "int4_topk")
+_top("ternary_best_match", "ternary_topk")
+_top("centroid_q40_best_match", "centroid_topk")
 _top("prefix_score", "prefix_topk")
-_top("binary_maxsim", "binary_topk")
-_top("token_scale_fp16_maxsim", "balanced_topk")
+_top("binary_best_match", "binary_topk")
+_top("token_scale_fp16_best_match", "balanced_topk")
 _top("smoothsim", "smoothsim_topk")
 
 _INTS = score_sql(f"SELECT doc_idx, {DOUBLES.format(_CODES.format(_S7, 7, 'emb'))} AS e, 1.0 AS ts FROM doc_tokens", _Q8)
 
 
-@query("int8q_int4_maxsim_topk", f"{_INTS} SELECT query_idx, rank, doc_id, score::BIGINT AS score FROM {top_sql()} JOIN docs USING (doc_idx)")
+@query("int8q_int4_best_match_topk", f"{_INTS} SELECT query_idx, rank, doc_id, score::BIGINT AS score FROM {top_sql()} JOIN docs USING (doc_idx)")
 def _flagship(s, d):
     """Integers only: int8 query codes against int4 document codes."""
     ranked = search.top_k(scores(s, d, plain_codes, int8_queries, top=10), 10)
     return search.with_ids(ranked, views.load(s, d).docs).withColumn("score", F.col("score").cast("long"))
 
 
-@query("candidate_score", f"{_scored_sql('dense_maxsim')} SELECT * FROM scores WHERE doc_idx IN (SELECT doc_idx FROM qrels WHERE rel = 2)")
+@query("candidate_score", f"{_scored_sql('dense_best_match')} SELECT * FROM scores WHERE doc_idx IN (SELECT doc_idx FROM qrels WHERE rel = 2)")
 def _candidate_score(s, d):
     wanted = views.load(s, d).qrels.filter("rel = 2")
-    return _scored(s, d, "dense_maxsim", only=lambda docs: search.candidates(docs, wanted))
+    return _scored(s, d, "dense_best_match", only=lambda docs: search.candidates(docs, wanted))
 
 
 _ORDER = "SELECT 'doc-' || ((i * 5) % 12) AS doc_id, i AS pos FROM range(20) t(i)"
 
 
-@query("rerank", f"""{_scored_sql('int4_maxsim')}, o AS (SELECT doc_id, min(pos) AS pos FROM ({_ORDER}) GROUP BY doc_id)
+@query("rerank", f"""{_scored_sql('int4_best_match')}, o AS (SELECT doc_id, min(pos) AS pos FROM ({_ORDER}) GROUP BY doc_id)
     SELECT query_idx, row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, pos)::INT AS rank, doc_id, score
     FROM scores JOIN docs USING (doc_idx) JOIN o USING (doc_id) QUALIFY rank <= 8""")
 def _rerank(s, d):
     docs = views.load(s, d).docs
     order = s.range(20).select(F.concat(F.lit("doc-"), ((F.col("id") * 5) % 12).cast("string")).alias("doc_id"), F.col("id").alias("pos"))
     wanted = docs.join(F.broadcast(order.select("doc_id").distinct()), "doc_id", "left_semi")
-    return search.rerank(_scored(s, d, "int4_maxsim", only=lambda x: search.candidates(x, wanted)), order, docs, 8)
+    return search.rerank(_scored(s, d, "int4_best_match", only=lambda x: search.candidates(x, wanted)), order, docs, 8)
 
 
 _CASCADE = _RES + score_sql(_INT4_D).replace("scores AS", "coarse AS").replace(" dq AS", " dq1 AS").replace("FROM dq,", "FROM dq1,").replace(" dd AS", " dd1 AS").replace(", dd LEFT", ", dd1 LEFT")
@@ -309,8 +310,13 @@ for _p in ("dg", "p0", "p1", "p2", "p3"):
 @query("cascade_topk", f"""{_CASCADE}{score_sql(_RES_D)}, kept AS (SELECT query_idx, doc_idx FROM {top_sql(20, 'coarse')}), fine AS (SELECT * FROM scores JOIN kept USING (query_idx, doc_idx))
     SELECT query_idx, rank, doc_id, score FROM {top_sql(5, 'fine')} JOIN docs USING (doc_idx)""")
 def _cascade(s, d):
-    coarse, fine = _scored(s, d, "prefix_score"), _scored(s, d, "residual_score")
-    return search.with_ids(search.cascade(coarse, fine, 20, 5), views.load(s, d).docs)
+    return search.with_ids(_cascaded(s, d, "prefix_score", "residual_score", 20, 5), views.load(s, d).docs)
+
+
+def _cascaded(s: SparkSession, d: str, coarse: str, fine: str, keep: int, k: int) -> DataFrame:
+    """Each task's best ``keep`` by the coarse scores leave it; only documents that are among some query's are scored again."""
+    first = checkpointed(search.top_k(_scored(s, d, coarse, top=keep), keep).select("query_idx", "doc_idx"))
+    return search.top_k(first.join(_scored(s, d, fine, only=lambda docs: search.candidates(docs, first)), ["query_idx", "doc_idx"]), k)
 
 
 _MEANP = """, mp AS (SELECT doc_idx, list(m ORDER BY d) AS e FROM (SELECT doc_idx, d, avg(x)::FLOAT::DOUBLE AS m FROM (SELECT doc_idx, unnest([v::DOUBLE for v in emb]) AS x, unnest(range(len(emb))) AS d FROM doc_tokens) GROUP BY doc_idx, d) GROUP BY doc_idx),
@@ -328,11 +334,11 @@ def _meanpool(s, d):
     t = views.load(s, d)
     nested = mean_pool(t.doc_tokens, "doc_idx", "emb").select("doc_idx", F.array(F.struct(F.lit(0).alias("token_pos"), F.col("v").alias("codes"), F.lit(1.0).alias("token_scale"))).alias("tokens"))
     asked = mean_pool(t.query_tokens, "query_idx", "qemb").select("query_idx", F.lit(0).alias("q_pos"), F.col("v").alias("qemb"))
-    out = scoring.score(nested, scoring.query_batch(asked)).withColumn("score", F.round("score", DIGITS))
+    out = scoring.score(nested, scoring.query_batch(asked), top=10, digits=DIGITS).withColumn("score", F.round("score", DIGITS))
     return search.with_ids(search.top_k(out, 10), t.docs)
 
 
-@query("token_candidate_rerank", f"""{_scored_sql('dense_maxsim')},
+@query("token_candidate_rerank", f"""{_scored_sql('dense_best_match')},
     tk AS (SELECT query_idx, q_pos, doc_idx, token_pos, round(list_inner_product([v::DOUBLE for v in qemb], [v::DOUBLE for v in emb]), {DIGITS}) AS s FROM query_tokens, doc_tokens
         QUALIFY row_number() OVER (PARTITION BY query_idx, q_pos ORDER BY s DESC, doc_idx, token_pos) <= 8),
     c AS (SELECT DISTINCT query_idx, doc_idx FROM tk), s1 AS (SELECT * FROM scores JOIN c USING (query_idx, doc_idx))
@@ -342,9 +348,9 @@ def _token_candidates(s, d):
     t = views.load(s, d)
     one = t.doc_tokens.select((F.col("doc_idx") * 8 + F.col("token_pos")).alias("doc_idx"), F.array(F.struct(F.lit(0).alias("token_pos"), F.col("emb").alias("codes"), F.lit(1.0).alias("token_scale"))).alias("tokens"))
     asked = scoring.query_batch(t.query_tokens.select((F.col("query_idx") * 64 + F.col("q_pos")).alias("query_idx"), F.lit(0).alias("q_pos"), "qemb"))
-    near = search.top_k(scoring.score(one, asked).withColumn("score", F.round("score", DIGITS)), 8)
+    near = search.top_k(scoring.score(one, asked, top=8, digits=DIGITS).withColumn("score", F.round("score", DIGITS)), 8)
     wanted = near.select(F.expr("query_idx div 64").alias("query_idx"), F.expr("doc_idx div 8").alias("doc_idx")).distinct()
-    fine = _scored(s, d, "dense_maxsim", only=lambda docs: search.candidates(docs, wanted))
+    fine = _scored(s, d, "dense_best_match", only=lambda docs: search.candidates(docs, wanted))
     return search.with_ids(search.top_k(fine.join(wanted, ["query_idx", "doc_idx"]), 5), t.docs)
 
 
@@ -389,24 +395,24 @@ def _per(s: SparkSession, d: str, name: str, linear: bool = False) -> DataFrame:
     return metrics.per_query(search.top_k(_scored(s, d, name), 10), views.load(s, d).qrels, 10, linear)
 
 
-_DENSE = _scored_sql("dense_maxsim")
+_DENSE = _scored_sql("dense_best_match")
 _R6 = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
 _r6 = lambda *c: [F.round(x, 6).alias(x) for x in c]
 
 
 @query("ranking_metrics", f"{_DENSE}{_metric_sql('scores')} SELECT round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM per")
 def _ranking_metrics(s, d):
-    return metrics.summary(_per(s, d, "dense_maxsim")).select(*_r6("recall", "mrr", "ndcg"))
+    return metrics.summary(_per(s, d, "dense_best_match")).select(*_r6("recall", "mrr", "ndcg"))
 
 
 @query("per_query_ndcg", f"{_DENSE}{_metric_sql('scores')} SELECT query_idx, {_R6('recall', 'mrr', 'ndcg')} FROM per")
 def _per_query(s, d):
-    return _per(s, d, "dense_maxsim").select("query_idx", *_r6("recall", "mrr", "ndcg"))
+    return _per(s, d, "dense_best_match").select("query_idx", *_r6("recall", "mrr", "ndcg"))
 
 
 @query("ndcg_linear", f"{_DENSE}{_metric_sql('scores', 'rel')} SELECT query_idx, {_R6('ndcg')} FROM per")
 def _linear(s, d):
-    return _per(s, d, "dense_maxsim", True).select("query_idx", *_r6("ndcg"))
+    return _per(s, d, "dense_best_match", True).select("query_idx", *_r6("ndcg"))
 
 
 def _second(name: str) -> str:
@@ -417,18 +423,18 @@ def _second(name: str) -> str:
     return out
 
 
-_TWO = _DENSE + _second("binary_maxsim")
+_TWO = _DENSE + _second("binary_best_match")
 
 
 @query("topk_agreement", f"{_TWO}, a AS {top_sql(10)}, b AS {top_sql(10, 'scores_b')} SELECT round(count(*) FILTER (b.doc_idx IS NOT NULL) / (10.0 * count(DISTINCT query_idx)), 6) AS agreement FROM a LEFT JOIN b USING (query_idx, doc_idx)")
 def _agreement(s, d):
-    a, b = (search.top_k(_scored(s, d, n), 10) for n in ("dense_maxsim", "binary_maxsim"))
+    a, b = (search.top_k(_scored(s, d, n), 10) for n in ("dense_best_match", "binary_best_match"))
     return metrics.agreement(a, b, 10).select(*_r6("agreement"))
 
 
 @query("paired_deltas", f"{_TWO}{_metric_sql('scores')}{_metric_sql('scores_b', suffix='_b')}, x AS (SELECT b.ndcg - a.ndcg AS e FROM per a JOIN per_b b USING (query_idx)) SELECT count(*) AS queries, round(avg(e), 6) AS mean_delta, count(*) FILTER (e > 1e-9) AS wins, count(*) FILTER (e < -1e-9) AS losses, count(*) FILTER (abs(e) <= 1e-9) AS ties FROM x")
 def _paired(s, d):
-    out = metrics.paired(_per(s, d, "dense_maxsim"), _per(s, d, "binary_maxsim"))
+    out = metrics.paired(_per(s, d, "dense_best_match"), _per(s, d, "binary_best_match"))
     return out.withColumn("mean_delta", F.round("mean_delta", 6))
 
 
@@ -449,7 +455,7 @@ def _length_summary(s, d):
     mn AS (SELECT query_idx, avg(n_tokens) AS n FROM qrels JOIN ln USING (doc_idx) WHERE rel > 0 GROUP BY query_idx)
     SELECT CASE WHEN n <= lower THEN 'short' WHEN n <= upper THEN 'medium' ELSE 'long' END AS bucket, count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM per JOIN mn USING (query_idx), cuts GROUP BY 1""")
 def _buckets(s, d):
-    return metrics.token_buckets(_per(s, d, "dense_maxsim"), views.load(s, d).qrels, lengths(s, d)).select("bucket", "queries", *_r6("ndcg", "recall"))
+    return metrics.token_buckets(_per(s, d, "dense_best_match"), views.load(s, d).qrels, lengths(s, d)).select("bucket", "queries", *_r6("ndcg", "recall"))
 
 
 @query("multi_dataset_agg", f"""{_TWO}{_metric_sql('scores')}{_metric_sql('scores_b', suffix='_b')},
@@ -457,7 +463,7 @@ def _buckets(s, d):
     SELECT implementation, count(value) AS datasets, count(*) FILTER (value IS NULL) AS unavailable, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(coalesce(exp(avg(ln(CASE WHEN value > 0 THEN value END))), 0), 6) AS geomean FROM rows GROUP BY implementation""")
 def _across(s, d):
     rows = None
-    for key, name in (("dense", "dense_maxsim"), ("binary", "binary_maxsim")):
+    for key, name in (("dense", "dense_best_match"), ("binary", "binary_best_match")):
         one = _per(s, d, name).groupBy((F.col("query_idx") % 3).alias("dataset")).agg(F.avg("ndcg").alias("value")).withColumn("implementation", F.lit(key))
         rows = one if rows is None else rows.unionByName(one)
     return metrics.across(rows).select("implementation", "datasets", "unavailable", *_r6("mean", "median", "geomean"))

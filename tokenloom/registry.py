@@ -4,4 +4,4 @@ from .plans import corpus_queries, experiment_queries, retrieval  # noqa: F401
 
 QUERIES = retrieval.QUERIES
 SQL = retrieval.SQL
-FLAGSHIP = "int8q_int4_maxsim_topk"
+FLAGSHIP = "int8q_int4_best_match_topk"

@@ -160,7 +160,7 @@ def test_search(spark):
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 1.0, 1.0]), (9, [-1.0, 0.25])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(1))
     got = all_rows(kdtree.top_k(df, F.col("vec_id").isin(0, 3, 8), k=5, shard_rows=3).orderBy("query_id", "rank"))
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 65536), (0, 2, 2, 32768), (0, 3, 9, -65536)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 65536), (0, 2, 2, 32768), (0, 3, 2, 32768), (0, 4, 9, -65536)]
     assert kdtree.top_k(df.limit(0), F.lit(True)).count() == 0 and kdtree.top_k(df, F.lit(False)).count() == 0
 
 

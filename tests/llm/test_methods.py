@@ -324,6 +324,21 @@ def test_top_k_over_shards(spark):
     assert [tuple(r) for r in got] == want
 
 
+def test_top_k_on_repeats_and_large_components(spark):
+    """A third of the rows are one vector; some components are huge; shards are small. As by brute force in whole numbers."""
+    rng = np.random.default_rng(4)
+    x = [[1.0, -2.0, 0.5]] * 200 + [[float(v) for v in r] for r in rng.integers(-40, 40, (390, 3)) / 8.0] + [[float(v) for v in r] for r in rng.integers(-(2**40), 2**40, (8, 3))]
+    rows = [(i, v) for i, v in enumerate(x)] + [(7, [1.0, -2.0, 0.5]), (601, [3.0, 3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows]
+    small = {0, 50, 250, 350}
+    got = kdtree.top_k(df, F.col("vec_id").isin(*small), k=5, shard_rows=40).collect()
+    for q in small:
+        (mine,) = [v for i, v in whole if i == q]
+        want = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in whole if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_url_sweep_over_many_rules_and_ranges(spark):
     rng = np.random.default_rng(11)
     label = lambda: "abc"[rng.integers(3)] + "xy-"[rng.integers(3)] * int(rng.integers(2))

@@ -8,14 +8,15 @@ two log-likelihoods, normalised by its length; differences of a word within a ma
 as none, for they are what small samples make of ordinary words. A logistic curve, fitted
 on the same rows with each row's own counts left out, turns that into a probability.
 
-What is learnt is bounded: at most SAMPLE_ROWS labelled rows of each class (the first by a
-hash of the id) and MODEL_WORDS words. The curve weights a row by how many labelled rows of
-its class it stands for, so the share of toxic texts that it learns is that of all labels. Scoring reads every whole text where it is.
+What is learnt is bounded: at most SAMPLE_ROWS labelled documents of each class (the first by a
+hash of the id), with all their words. The curve weights a document by how many labelled ones of
+its class it stands for, so the share of toxic texts that it learns is that of all labels.
+Scoring reads every whole text where it is.
 
 Defined results: null and empty texts are scored by the curve at zero; without labelled rows
 of both classes every score is the share of toxic labels among them (0 if none); labels that
 are null, and labels of unknown documents, teach nothing; several labels of one document
-count as the largest; null ids are in no held-out part; rows are scored one by one.
+count as the largest; an id of several rows teaches nothing; null ids are in no held-out part; rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from . import bpe
 from ._util import bounded_batches, cut, names, quoted, table
 
 SAMPLE_ROWS = 10_000
-MODEL_WORDS = 200_000
 #: Absolute discount of a count, and the difference of log-likelihoods that counts as none.
 DISCOUNT = 2.0
 MARGIN = 2.0
@@ -108,19 +108,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rows: np.ndarray
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, toxic) of a bounded sample, and the number of labelled rows of each class; its ids, at most twice sample_rows, are broadcast."""
+    """(text, toxic) of a bounded sample and the number of labelled documents of each class; its ids, at most twice sample_rows, are broadcast."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(quoted(id_col)) & quoted(id_col).isNotNull()).groupBy(quoted(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    ids = docs.select(quoted(id_col).alias("_id"))
-    known = cut(known.join(ids.distinct(), "_id", "left_semi"))
-    # Rows of documents, as in the sample: an id that occurs twice is two.
-    labelled = {r["toxic"]: r["n"] for r in ids.join(known, "_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    single = docs.groupBy(quoted(id_col).alias("_id")).agg(F.count("*").alias("rows")).filter("rows = 1")
+    known = cut(known.join(single, "_id", "left_semi"))
+    labelled = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     part = lambda c: known.filter(F.col("toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     return docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("text")).join(F.broadcast(part(0).union(part(1))), "_id").select("text", "toxic"), labelled
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, model_words: int = MODEL_WORDS, discount: float = DISCOUNT, margin: float = MARGIN) -> tuple[dict[str, float], list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, discount: float = DISCOUNT, margin: float = MARGIN) -> tuple[dict[str, float], list[float]]:
     """(difference of each word that has one, weights of the curve)."""
     sample, labelled = labelled_sample(bounded_batches(docs), labels, id_col, text_col, label_col, sample_rows)
+    sample = cut(sample)
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("before", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("ordinary", T.IntegerType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not totals["toxic"] or not totals["ordinary"]:
         share = labelled.get(1, 0) / max(1, labelled.get(0, 0) + labelled.get(1, 0))
         return {}, [0.0, 0.0, math.inf if share == 1 else -math.inf if not share else math.log(share / (1 - share))]
-    told = counts.filter((F.col("toxic") > discount) | (F.col("ordinary") > discount)).orderBy((F.col("toxic") + F.col("ordinary")).desc(), "word").limit(model_words).toPandas()
+    told = counts.filter((F.col("toxic") > discount) | (F.col("ordinary") > discount)).orderBy("word").toPandas()
     model = KneserNey(totals, discount, margin)
     t, o, c = (told[n].to_numpy(np.float64) for n in ("toxic", "ordinary", "contexts"))
     table_of = lambda x: {w: float(v) for w, v in zip(told["word"], x, strict=True) if v}

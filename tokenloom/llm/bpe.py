@@ -35,11 +35,11 @@ END = "</w>"
 #: Ids of a run of texts that are written out together.
 JOINED_IDS = 262_144
 #: Chunks and words that an encoder keeps at most; none is of more than CACHE_BYTES, so an entry takes five times that at most.
-CACHE_CHUNKS = 600_000
-CACHE_WORDS = 600_000
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 400_000
 CACHE_BYTES = 64
 #: Pairs of neighbours whose acceptance is remembered at most.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 200_000
 
 
 class Recent:
@@ -316,7 +316,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(loaded(path).encode_chunks)
 
 
-def runs(batch: pa.RecordBatch, column: str, most_chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def runs(batch: pa.RecordBatch, column: str, most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of bounded text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at, total = 0, 0
@@ -327,6 +327,8 @@ def runs(batch: pa.RecordBatch, column: str, most_chars: int = 8_000_000) -> Ite
         total += n
     if at < len(sizes):
         yield batch.slice(at)
+    # What Arrow holds for later would stay with the worker.
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batch: pa.RecordBatch, column: str, most_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

@@ -21,6 +21,12 @@ def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10, linear: bool = F
     return ideal.join(got, "query_idx", "left").select("query_idx", zero(F.col("found") / F.col("relevant")).alias("recall"), zero(1.0 / F.col("first")).alias("mrr"), zero(F.col("dcg") / F.col("idcg")).alias("ndcg"))
 
 
+def for_all(per: DataFrame, queries: DataFrame, missing: float | None = None) -> DataFrame:
+    """``per`` with a row for each of ``queries``; one without relevant documents has ``missing`` for every metric (null, or 0.0 as in production reports)."""
+    every = queries.select("query_idx").distinct().join(per, "query_idx", "left")
+    return every.select("query_idx", *((F.col(c) if missing is None else F.coalesce(c, F.lit(missing))).alias(c) for c in ("recall", "mrr", "ndcg")))
+
+
 def summary(per: DataFrame) -> DataFrame:
     return per.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("recall", "mrr", "ndcg")))
 

@@ -392,7 +392,7 @@ def _metric_sql(source: str, gain: str = "pow(2, rel) - 1", suffix: str = "") ->
 
 
 def _per(s: SparkSession, d: str, name: str, linear: bool = False) -> DataFrame:
-    return metrics.per_query(search.top_k(_scored(s, d, name), 10), views.load(s, d).qrels, 10, linear)
+    return metrics.per_query(search.top_k(_scored(s, d, name, top=10), 10), views.load(s, d).qrels, 10, linear)
 
 
 _DENSE = _scored_sql("dense_best_match")
@@ -415,6 +415,27 @@ def _linear(s, d):
     return _per(s, d, "dense_best_match", True).select("query_idx", *_r6("ndcg"))
 
 
+_STRICT = _DENSE + ", strict AS (SELECT * FROM qrels WHERE rel = 2)" + _metric_sql("scores").replace("qrels", "strict") + ", every AS (SELECT DISTINCT query_idx FROM query_tokens)"
+_R8 = lambda *c, by="{0}": ", ".join(f"round({by.format(x)}, 8) AS {x}" for x in c)
+
+
+def _strict(s: SparkSession, d: str, missing: float | None) -> DataFrame:
+    """Quality where only the best grade counts as relevant, so that queries may have no relevant document."""
+    t = views.load(s, d)
+    per = metrics.per_query(search.top_k(_scored(s, d, "dense_best_match", top=10), 10), t.qrels.filter("rel = 2"), 10)
+    return metrics.for_all(per, t.query_tokens, missing).select("query_idx", *(F.round(c, 8).alias(c) for c in ("recall", "ndcg")))
+
+
+@query("per_query_quality", f"{_STRICT} SELECT query_idx, {_R8('recall', 'ndcg')} FROM every LEFT JOIN per USING (query_idx)")
+def _quality_null(s, d):
+    return _strict(s, d, None)
+
+
+@query("production_quality", f"{_STRICT} SELECT query_idx, {_R8('recall', 'ndcg', by='coalesce({0}, 0.0)')} FROM every LEFT JOIN per USING (query_idx)")
+def _quality_zero(s, d):
+    return _strict(s, d, 0.0)
+
+
 def _second(name: str) -> str:
     """A second format's scores under other names, beside the dense ones."""
     out = _scored_sql(name)
@@ -428,7 +449,7 @@ _TWO = _DENSE + _second("binary_best_match")
 
 @query("topk_agreement", f"{_TWO}, a AS {top_sql(10)}, b AS {top_sql(10, 'scores_b')} SELECT round(count(*) FILTER (b.doc_idx IS NOT NULL) / (10.0 * count(DISTINCT query_idx)), 6) AS agreement FROM a LEFT JOIN b USING (query_idx, doc_idx)")
 def _agreement(s, d):
-    a, b = (search.top_k(_scored(s, d, n), 10) for n in ("dense_best_match", "binary_best_match"))
+    a, b = (search.top_k(_scored(s, d, n, top=10), 10) for n in ("dense_best_match", "binary_best_match"))
     return metrics.agreement(a, b, 10).select(*_r6("agreement"))
 
 

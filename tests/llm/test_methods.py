@@ -112,6 +112,39 @@ def test_op3_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def test_op3_against_plain_models(spark):
+    """Scores are a rising function of the mean over all words of the difference of log-likelihoods under two models written out in full."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: toxicity.words(r.text) for r in docs.collect()}
+    count = {0: collections.Counter(), 1: collections.Counter()}
+    for i, found in texts.items():
+        if i in toxic and zlib.crc32(str(i).encode()) % 4 != 2:
+            count[toxic[i]].update(set(found))
+    shared = count[0] + count[1]
+    total = {c: sum(count[c].values()) for c in count}
+    everything = sum(total.values())
+
+    def keeps(c, w):
+        expected = shared[w] * total[c] / everything
+        return max(0, count[c][w] - expected - 3 * expected**0.5 - 0.75) / total[c]
+
+    free = {c: 1 - sum(keeps(c, w) for w in count[c]) for c in count}
+    likelihood = lambda c, w: keeps(c, w) + free[c] * (shared[w] + 1) / (everything + len(shared) + 1)
+    for c in count:  # a distribution, with one place for all unknown words
+        assert abs(sum(likelihood(c, w) for w in shared) + likelihood(c, "") - 1) < 1e-9
+    difference, unknown, (slope, constant) = toxicity.fit(docs, labels)
+    assert slope > 0 and difference
+    for r in toxicity.op3_toxicity(spark, sf).collect():
+        found = texts[r.doc_id]
+        mean = sum(np.log(likelihood(1, w)) - np.log(likelihood(0, w)) for w in found) / max(1, len(found)) - (np.log(free[1] / free[0]) if found else 0)
+        mean = 0 if abs(mean) < 1e-12 else mean
+        x = toxicity.feature(found, difference, unknown)
+        assert abs(x * abs(x) - mean) < 1e-9
+        assert abs(r.score - 1 / (1 + np.exp(-slope * x - constant))) < 1e-9
+
+
 def test_op3_learns_the_share_of_all_labels_from_a_capped_sample(spark):
     """On held-out rows, with caps that bite, precision holds and scores add up to about the toxic rows."""
     sf = "/root/testdata/sf0.1"
@@ -433,8 +466,8 @@ def test_op10(spark, monkeypatch):
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{DOCS}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{DOCS}/labels.parquet"))
-    curve = lambda t: 1 / (1 + np.exp(-(model[1][0] * t[0] + model[1][1] * t[1] + model[1][2])))
-    kept = {r.doc_id: r.text for r in docs.collect() if curve(toxicity.features(toxicity.words(r.text), model[0])) < toxicity.THRESHOLD}
+    curve = lambda x: 1 / (1 + np.exp(-(model[2][0] * x + model[2][1])))
+    kept = {r.doc_id: r.text for r in docs.collect() if curve(toxicity.feature(toxicity.words(r.text), *model[:2])) < toxicity.THRESHOLD}
     first = {}
     for i in sorted(kept):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i] or ""), i)

@@ -1,19 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A toxic and an ordinary model are fitted on labelled rows. Both count in how many documents
-a word occurs, take an absolute discount off each count, and hand what that frees to one
-shared backoff: Kneser-Ney continuation counts (in how many contexts a word was seen) over
-both classes. A rare word is thereby nearly as likely in both. A text's score compares the
-two log-likelihoods, normalised by its length; differences of a word within a margin count
-as none, for they are what small samples make of ordinary words. A logistic curve, fitted
-on the same rows with each row's own counts left out, turns that into a probability.
+A toxic and an ordinary model are fitted on labelled rows. Both count in how many documents of
+their class a word occurs (its continuation counts, with documents as contexts), discount each
+count, and hand what that frees to one shared backoff: the same counts over both classes. The
+discount of a count is a constant, and what the shared counts let expect of the class, and SIGMAS
+standard deviations of that: a word keeps a likelihood of its own in a class only as far as the
+backoff does not explain it, and all others are as likely in both models but for the weights of
+their backoffs. A text's score compares its log-likelihoods under the two models over all of its
+words, divided by their number; a rising curve, logistic in the root of that difference and fitted
+on the same rows with each row's own counts left out, turns it into a probability.
 
 What is learnt is bounded: at most SAMPLE_ROWS labelled documents of each class (the first by a
 hash of the id), with all their words. The curve weights a document by how many labelled ones of
 its class it stands for, so the share of toxic texts that it learns is that of all labels.
 Scoring reads every whole text where it is.
 
-Defined results: null and empty texts are scored by the curve at zero; without labelled rows
+Defined results: null and empty texts are scored like one of unknown words; without labelled rows
 of both classes every score is the share of toxic labels among them (0 if none); labels that
 are null, and labels of unknown documents, teach nothing; several labels of one document
 count as the largest; an id of several rows teaches nothing; null ids are in no held-out part; rows are scored one by one.
@@ -35,9 +37,9 @@ from . import bpe
 from ._util import bounded_batches, cut, names, quoted, table
 
 SAMPLE_ROWS = 10_000
-#: Absolute discount of a count, and the difference of log-likelihoods that counts as none.
-DISCOUNT = 2.0
-MARGIN = 2.0
+#: A count's discount: a constant, and so many standard deviations over what the shared counts let expect.
+DISCOUNT = 0.75
+SIGMAS = 3.0
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -52,33 +54,36 @@ def held_out(id_col: Column) -> Column:
 
 
 class KneserNey:
-    """Log-likelihood differences of words under the two models."""
+    """The two models. ``toxic`` and ``ordinary`` are sums of counts, ``words`` the number of different ones."""
 
-    def __init__(self, totals: dict, discount: float, margin: float):
-        self.t, self.discount, self.margin = totals, discount, margin
+    def __init__(self, toxic: float, ordinary: float, words: int, discount: float = DISCOUNT, sigmas: float = SIGMAS):
+        self.toxic, self.ordinary, self.words, self.discount, self.sigmas = toxic, ordinary, words, discount, sigmas
+        self.freed = (1.0, 1.0)
 
-    def difference(self, toxic: np.ndarray, ordinary: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        t, d = self.t, self.discount
-        shared = (contexts + 1.0) / (t["contexts"] + t["words"] + 1.0)
-        p = np.maximum(toxic - d, 0) / t["toxic"] + t["toxic_freed"] / t["toxic"] * shared
-        q = np.maximum(ordinary - d, 0) / t["ordinary"] + t["ordinary_freed"] / t["ordinary"] * shared
-        x = np.log(p) - np.log(q)
-        return np.sign(x) * np.maximum(np.abs(x) - self.margin, 0)
+    def kept(self, count, both, total: float, greatest=np.maximum, root=np.sqrt):
+        """What a class keeps of a word's count; on columns too, with their functions."""
+        expected = both * (total / (self.toxic + self.ordinary))
+        return greatest(count - expected - self.sigmas * root(expected) - self.discount, 0.0)
 
+    def difference(self, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+        """Log-likelihood under the toxic model less that under the ordinary one."""
+        both = toxic + ordinary
+        shared = (both + 1.0) / (self.toxic + self.ordinary + self.words + 1.0)
+        p = self.kept(toxic, both, self.toxic) / self.toxic + self.freed[0] * shared
+        q = self.kept(ordinary, both, self.ordinary) / self.ordinary + self.freed[1] * shared
+        return np.log(p) - np.log(q)
 
-def features(found: list[str], difference: dict[str, float]) -> tuple[float, float]:
-    """Square roots of what speaks for and against the toxic model, a word of the text."""
-    up = down = 0.0
+    @property
+    def unknown(self) -> float:
+        """The difference of a word that neither model knows more of than the backoff."""
+        return math.log(self.freed[0]) - math.log(self.freed[1])
+
+
+def feature(found: list[str], difference: dict[str, float], unknown: float) -> float:
+    """Length-normalised difference of a text's log-likelihoods, from that of unknown words; its root, with the sign."""
     get = difference.get
-    for w in found:
-        x = get(w)
-        if x is not None:
-            if x > 0:
-                up += x
-            else:
-                down -= x
-    n = max(1, len(found))
-    return math.sqrt(up / n), math.sqrt(down / n)
+    x = math.fsum(d - unknown for w in found if (d := get(w)) is not None) / max(1, len(found))
+    return math.copysign(math.sqrt(abs(x)), x)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rows: np.ndarray | None = None) -> np.ndarray:
@@ -117,74 +122,74 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("text")).join(F.broadcast(part(0).union(part(1))), "_id").select("text", "toxic"), labelled
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, discount: float = DISCOUNT, margin: float = MARGIN) -> tuple[dict[str, float], list[float]]:
-    """(difference of each word that has one, weights of the curve)."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, discount: float = DISCOUNT, sigmas: float = SIGMAS) -> tuple[dict[str, float], float, list[float]]:
+    """(difference of each word that has its own, that of all others, slope and constant of the curve)."""
     sample, labelled = labelled_sample(bounded_batches(docs), labels, id_col, text_col, label_col, sample_rows)
     sample = cut(sample)
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("before", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("ordinary", T.IntegerType())])
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("toxic", T.IntegerType()), T.StructField("ordinary", T.IntegerType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for rows, texts in bpe.slices(batch, "text", 500_000):
-                out: list[list] = [[], [], [], []]
+                out: list[str] = []
+                y: list[int] = []
                 for text, toxic in zip(texts, rows.column("toxic").to_pylist(), strict=True):
-                    found, first, seen = words(text), set(), set()
-                    for before, word in zip(["", *found], found):  # noqa: B905
-                        if (before, word) in seen:
-                            continue
-                        seen.add((before, word))
-                        new = word not in first
-                        first.add(word)
-                        for column, value in zip(out, (word, xxhash.xxh64_intdigest(before) >> 1, int(new and toxic == 1), int(new and toxic != 1)), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=schema.names)
-
-    pairs = sample.mapInArrow(count, schema).groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    counts = cut(pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("contexts")))
-    freed = lambda c: F.sum(F.least(F.col(c), F.lit(discount)))
-    totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("contexts").alias("contexts"), F.count("*").alias("words"), freed("toxic").alias("toxic_freed"), freed("ordinary").alias("ordinary_freed")).first().asDict()
+                    found = set(words(text))
+                    out += found
+                    y += [int(toxic == 1)] * len(found)
+                toxic = np.array(y, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic), pa.array(1 - toxic)], names=schema.names)
+
+    counts = cut(sample.mapInArrow(count, schema).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("words")).first()
     if not totals["toxic"] or not totals["ordinary"]:
         share = labelled.get(1, 0) / max(1, labelled.get(0, 0) + labelled.get(1, 0))
-        return {}, [0.0, 0.0, math.inf if share == 1 else -math.inf if not share else math.log(share / (1 - share))]
-    told = counts.filter((F.col("toxic") > discount) | (F.col("ordinary") > discount)).orderBy("word").toPandas()
-    model = KneserNey(totals, discount, margin)
-    t, o, c = (told[n].to_numpy(np.float64) for n in ("toxic", "ordinary", "contexts"))
-    table_of = lambda x: {w: float(v) for w, v in zip(told["word"], x, strict=True) if v}
-    difference = table_of(model.difference(t, o, c))
+        return {}, 0.0, [0.0, math.inf if share == 1 else -math.inf if not share else math.log(share / (1 - share))]
+    model = KneserNey(totals["toxic"], totals["ordinary"], totals["words"], discount, sigmas)
+    both = F.col("toxic") + F.col("ordinary")
+    kept = lambda c, both: model.kept(F.col(c), both, totals[c], lambda x, low: F.greatest(x, F.lit(low)), F.sqrt)
+    # A word may be one of a class's own for want of the scored row alone, so words that are nearly so are taken too.
+    told = counts.filter(sum(kept(c, b) for c in ("toxic", "ordinary") for b in (both, both - 1)) > 0).orderBy("word").toPandas()
+    t, o = (told[n].to_numpy(np.float64) for n in ("toxic", "ordinary"))
+    own = lambda n, total: 1.0 - math.fsum(model.kept(n, t + o, total)) / total
+    model.freed = own(t, model.toxic), own(o, model.ordinary)
+    table_of = lambda x: {w: float(v) for w, v in zip(told["word"], x, strict=True)}
+    difference = table_of(model.difference(t, o))
     # A labelled row is scored by what the others tell.
-    others = table_of(model.difference(np.maximum(t - 1, 0), o, c)), table_of(model.difference(t, np.maximum(o - 1, 0), c))
-    send = docs.sparkSession.sparkContext.broadcast(others)
+    others = table_of(model.difference(np.maximum(t - 1, 0), o)), table_of(model.difference(t, np.maximum(o - 1, 0)))
+    send, unknown = docs.sparkSession.sparkContext.broadcast(others), model.unknown
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         without_toxic, without_ordinary = send.value
         for batch in batches:
             for rows, texts in bpe.slices(batch, "text"):
                 toxic = rows.column("toxic").to_pylist()
-                x = [features(words(a), without_toxic if b == 1 else without_ordinary) for a, b in zip(texts, toxic, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), pa.array([int(v == 1) for v in toxic], pa.int32())], names=["up", "down", "y"])
+                x = [feature(words(a), without_toxic if b == 1 else without_ordinary, unknown) for a, b in zip(texts, toxic, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array([int(v == 1) for v in toxic], pa.int32())], names=["x", "y"])
 
-    rows = sample.mapInArrow(score, "up double, down double, y int").toPandas().sort_values(["up", "down", "y"])
+    rows = sample.mapInArrow(score, "x double, y int").toPandas().sort_values(["x", "y"])
     y = rows["y"].to_numpy(np.float64)
     stands_for = np.where(y > 0, labelled.get(1, 0) / max(1, y.sum()), labelled.get(0, 0) / max(1, len(y) - y.sum()))
-    return difference, logistic(rows[["up", "down"]].to_numpy(), y, rows=stands_for).tolist()
+    x = rows[["x"]].to_numpy()
+    curve = logistic(x, y, rows=stands_for)
+    if curve[0] < 0:  # the rows tell nothing: the curve must not fall
+        curve = np.array([0.0, logistic(x[:, :0], y, rows=stands_for)[0]])
+    return {w: d for w, d in difference.items() if abs(d - unknown) > 1e-12}, unknown, curve.tolist()
 
 
-def score(df: DataFrame, model: tuple[dict[str, float], list[float]], text_col: str = "text", score_col: str = "score") -> DataFrame:
+def score(df: DataFrame, model: tuple[dict[str, float], float, list[float]], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``df`` with a score from 0 to 1 in a column more. Map-only; the model is of bounded size."""
     (out_col,) = names(df, score_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.DoubleType())])
     send = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        difference, (a, b, c) = send.value
+        difference, unknown, (a, b) = send.value
         for batch in batches:
             for rows, texts in bpe.slices(batch, text_col):
                 out = []
                 for text in texts:
-                    up, down = features(words(text), difference)
-                    z = a * up + b * down + c
+                    z = a * feature(words(text), difference, unknown) + b
                     out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.float64())], names=schema.names)
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions import frames, text
+from tokenloom.functions.quantiles import quantiles
 from tokenloom.index import Index
-from tokenloom.operators import experiments
+from tokenloom.operators import experiments, metrics
 from tokenloom.streaming.queries import search_stream
 
 
@@ -23,7 +24,7 @@ def test_sign_test(spark):
 
 def test_bootstrap_covers_the_mean(spark):
     x = np.random.default_rng(4).normal(0.1, 1, 400)
-    row = experiments.bootstrap(spark.createDataFrame([(float(v),) for v in x], "delta double"), samples=800, shards=4).first()
+    row = experiments.bootstrap(spark.createDataFrame([(float(v),) for v in x], "delta double"), samples=800).first()
     half = 1.96 * x.std() / 20
     assert abs(row.low - (x.mean() - half)) < 0.04 and abs(row.high - (x.mean() + half)) < 0.04
 
@@ -71,6 +72,40 @@ def test_text_helpers(spark):
     assert list(row) == ["ab-c-d", "12", "7", "9"]
 
 
+def test_names(spark):
+    row = spark.createDataFrame([("Éa/Größe 7_val_subsampled", "org/ColPali-v1.2")], "a string, b string").select(text.embedding_file(F.col("a"), F.col("b"), F.lit(9)), text.dataset_name(F.lit("x/y_train_subsampled_test_subsampled")), text.model_name(F.lit("m/Some.Model"))).first()
+    assert list(row) == ["vidore-größe-7-colpali-limit9.npz", "y", "some-model"]
+    assert metrics.metric_ks("5, 10,,5", 20) == [1, 5, 10, 20]
+    with pytest.raises(ValueError):
+        metrics.metric_ks("0", 5)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=900), np.zeros(300), rng.normal(size=300).astype(np.float32) * 1e-30, [1e300, -1e300, np.inf, -np.inf, 5e-324]])
+    rows = [(int(i % 3), float(v)) for i, v in enumerate(x)] + [(3, 7.0), (4, None), (None, 2.5), (None, 3.5)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(5)
+    shares = {"a": 0.0, "b": 0.013, "c": 0.25, "d": 0.5, "e": 0.9, "f": 0.98}
+    got = {r.g: r for r in quantiles(df, F.col("x"), shares, ("g",)).collect()}
+    assert sorted(got, key=str) == [0, 1, 2, 3, None]
+    for g, r in got.items():
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        for name, q in shares.items():
+            place = q * (len(values) - 1)
+            low, high = values[math.floor(place)], values[math.ceil(place)]
+            want = low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high
+            assert r[name] == want or math.isclose(r[name], want, rel_tol=1e-12), (g, name)
+    assert quantiles(df, F.col("x"), {"m": 0.5}).first().m == 0.0
+    assert quantiles(df.limit(0), F.col("x"), {"m": 0.5}).first().m is None
+
+
+def test_gates(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 2.0), ("b", 2, 1.5), ("c", 1, float("nan"))], "implementation string, step int, value double")
+    assert {r.implementation: r.passed for r in experiments.monotone(rows).collect()} == {"a": True, "b": False, "c": False}
+    results = spark.createDataFrame([("s", True, 1.0, None), ("t", True, float("inf"), 1.0), ("u", False, 1.0, 1.0)], "stage string, passed boolean, latency double, metric double")
+    assert [tuple(experiments.stage_gate(results, s).first()) for s in "stuv"] == [(1, True), (1, False), (1, False), (0, False)]
+
+
 def test_query_stream(spark, tmp_path):
     rng = np.random.default_rng(8)
     tokens = spark.createDataFrame([(d, p, [float(v) for v in rng.normal(size=8)]) for d in range(5) for p in range(3)], "doc_idx long, token_pos long, emb array<float>")

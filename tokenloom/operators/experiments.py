@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from . import pooling, search
 
 # -- significance ------------------------------------------------------------------------
@@ -26,24 +29,25 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.least(F.lit(1.0), 2 * tail)
 
 
-def bootstrap(deltas: DataFrame, samples: int = 10_000, seed: int = 20260704, shards: int = 16) -> DataFrame:
-    """95 % interval of the mean of ``deltas`` (delta): resamples are dealt over shards, each adding Poisson-weighted sums as rows stream by."""
-    parts = deltas.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    held = deltas.select(F.col("delta").cast("double").alias("delta"), F.xxhash64("delta").alias("h"))
-    per = -(-samples // shards)
+def bootstrap(deltas: DataFrame, samples: int = 10_000, seed: int = 20260704) -> DataFrame:
+    """95 % interval of the mean of ``deltas`` (delta) over Poisson resamples.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(frame["shard"].iloc[0])])
-        x = np.sort(frame["delta"].to_numpy())
-        total, weight = np.zeros(per), np.zeros(per)
-        for at in range(0, len(x), 4096):
-            w = rng.poisson(1.0, (per, len(x[at : at + 4096])))
-            total += w @ x[at : at + 4096]
-            weight += w.sum(1)
-        return pd.DataFrame({"mean": total / np.maximum(weight, 1)})
+    Equal deltas are one row with their number, whose weights in all resamples are drawn where it lies, from its own
+    seed; a task sends one partial sum a resample. Results do not depend on the partitioning.
+    """
+    held = deltas.filter("delta IS NOT NULL").groupBy(F.col("delta").cast("double").alias("delta")).agg(F.count("*").alias("n"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weight = np.zeros(samples), np.zeros(samples)
+        for frame in frames:
+            for x, n in zip(frame["delta"].to_numpy(), frame["n"].to_numpy(), strict=True):
+                w = np.random.default_rng([seed, int(np.float64(x).view(np.uint64))]).poisson(float(n), samples)
+                total += w * x
+                weight += w
+        yield pd.DataFrame({"resample": np.arange(samples), "total": total, "weight": weight})
 
-    means = held.join(F.broadcast(parts)).groupBy("shard").applyInPandas(run, "mean double")
-    return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    sums = held.mapInPandas(run, "resample int, total double, weight double").groupBy("resample").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    return quantiles(sums.filter("weight > 0"), F.col("total") / F.col("weight"), {"low": 0.025, "high": 0.975})
 
 
 # -- scores and rankings -----------------------------------------------------------------
@@ -77,6 +81,29 @@ def gates(rows: DataFrame, baseline: str, most_ratio: float) -> DataFrame:
     return joined.groupBy("implementation").agg(F.bool_and(ok).alias("passed"), F.max(F.col("value") / F.col("base")).alias("worst_ratio"))
 
 
+def monotone(rows: DataFrame, falling: bool = False) -> DataFrame:
+    """Per implementation: whether its finite values never fall (or rise) with ``step``, and the worst step."""
+    line = Window.partitionBy("implementation").orderBy("step")
+    change = F.col("value") - F.lag("value").over(line)
+    change = -change if falling else change
+    finite = F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
+    stepped = rows.withColumn("change", change).withColumn("finite", finite)
+    return stepped.groupBy("implementation").agg((F.bool_and("finite") & (F.coalesce(F.min("change"), F.lit(0.0)) >= 0)).alias("passed"), F.min("change").alias("worst_step"))
+
+
+def regret(rows: DataFrame, chosen: Column, most: float = 0.05) -> DataFrame:
+    """Per dataset: the chosen route's value over the best one's (the least), less one, and whether it is at most ``most``."""
+    worst = F.max(F.when(chosen, F.col("value"))) / F.min("value") - 1
+    return rows.groupBy("dataset").agg(F.min_by("implementation", F.struct("value", "implementation")).alias("best_route"), worst.alias("regret")).withColumn("passed", F.coalesce(F.col("regret") <= most, F.lit(False)))
+
+
+def stage_gate(results: DataFrame, stage: str) -> DataFrame:
+    """One row: whether ``stage`` has results, all passed, with finite latencies and metrics (a missing metric is none)."""
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    good = F.col("passed") & F.coalesce(finite("latency"), F.lit(False)) & F.coalesce(finite("metric"), F.lit(True))
+    return results.filter(F.col("stage") == stage).agg(F.count("*").alias("results"), F.coalesce(F.bool_and(good), F.lit(False)).alias("passed"))
+
+
 # -- pooling variants --------------------------------------------------------------------
 
 

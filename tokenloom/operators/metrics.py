@@ -62,3 +62,23 @@ def paired(a: DataFrame, b: DataFrame, metric: str = "ndcg", eps: float = 1e-9)
 def across(rows: DataFrame) -> DataFrame:
     """Mean, median and geometric mean (of positives; 0 without any) of ``value`` by implementation over datasets."""
     return rows.groupBy("implementation").agg(F.count("value").alias("datasets"), F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)).alias("unavailable"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.coalesce(F.exp(F.avg(F.when(F.col("value") > 0, F.ln("value")))), F.lit(0.0)).alias("geomean"))
+
+
+def across_scales(rows: DataFrame, baseline: str, digits: int) -> DataFrame:
+    """Implementations over datasets (implementation, dataset, scale, value), for each scale and for all: means, the mean
+    difference from the baseline on the same dataset and scale, and the place by mean."""
+    base = rows.filter(F.col("implementation") == baseline).select("dataset", "scale", F.col("value").alias("base"))
+    both = rows.join(base, ["dataset", "scale"], "left").withColumn("delta", F.col("value") - F.col("base"))
+    keys = [F.col("scale"), F.col("implementation")]
+    geomean = F.coalesce(F.exp(F.avg(F.when(F.col("value") > 0, F.ln("value")))), F.lit(0.0))
+    out = both.groupingSets([keys[1:], keys], *keys).agg(F.count("value").alias("datasets"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), geomean.alias("geomean"), F.avg("delta").alias("delta"), F.grouping("scale").alias("every"))
+    out = out.select(F.when(F.col("every") == 1, "all").otherwise(F.col("scale")).alias("scale"), "implementation", "datasets", *(F.round(c, digits).alias(c) for c in ("mean", "median", "geomean", "delta")))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("scale").orderBy(F.col("mean").desc(), "implementation")))
+
+
+def metric_ks(text: str, k: int) -> list[int]:
+    """Depths of metrics from a list in words; 1 and ``k`` are always among them."""
+    given = [int(part) for part in text.split(",") if part.strip()]
+    if min([*given, k]) < 1:
+        raise ValueError("depths must be positive")
+    return sorted({1, k, *given})

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.quantiles import quantiles
 
 LOG_FLOOR = 1e-12
 
@@ -105,7 +106,7 @@ def pack_ternary(tokens: DataFrame, threshold: float | None = None) -> DataFrame
     """Codes -1, 0, 1; without a threshold, the 25th percentile of |x| over the corpus."""
     if threshold is not None:
         return tokens.withColumn("codes", V.ternary(F.col("emb"), threshold)).withColumn("token_scale", F.lit(1.0))
-    cut = tokens.select(F.explode("emb").alias("x")).agg(F.percentile(F.abs("x").cast("double"), F.lit(0.25)).alias("t"))
+    cut = quantiles(tokens.select(F.explode("emb").alias("x")), F.abs("x"), {"t": 0.25})
     return tokens.crossJoin(F.broadcast(cut)).withColumn("codes", V.ternary(F.col("emb"), F.col("t"))).withColumn("token_scale", F.lit(1.0)).drop("t")
 
 
@@ -129,7 +130,7 @@ def by_dim(stats: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def fit_thresholds(tokens: DataFrame, q: float = 0.4) -> DataFrame:
-    return dim_stat(tokens, F.percentile(F.col("x").cast("double"), F.lit(q)).alias("t"))
+    return quantiles(tokens.select(F.posexplode("emb").alias("d", "x")), F.col("x"), {"t": q}, ("d",))
 
 
 def fit_centroids(tokens: DataFrame, thresholds: DataFrame | None = None, lloyd: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import vectors as V
+from ..functions.quantiles import quantiles
 from ..operators import corpora, packing, scoring
 from ..sources import views
 from .retrieval import _SIGN_D, lengths, query, score_sql
@@ -149,11 +150,11 @@ def _alternative(s, d):
 def _tempered(s, d):
     """Scales clipped to percentiles, then to a power."""
     t = packing.token_scale(views.load(s, d).doc_tokens, "mean_abs").select("doc_idx", "token_pos", F.col("token_scale").alias("v"))
-    m = t.agg(F.percentile("v", F.lit(0.05)).alias("lo"), F.percentile("v", F.lit(0.95)).alias("hi"))
+    m = quantiles(t, F.col("v"), {"lo": 0.05, "hi": 0.95})
     return t.crossJoin(F.broadcast(m)).select("doc_idx", "token_pos", F.round(F.pow(F.least(F.greatest("v", "lo"), "hi"), F.lit(0.5)), 6).alias("token_scale"))
 
 
-_SLUG = "trim(regexp_replace(lower({0}), '[^0-9a-z]+', '-', 'g'), '-')"
+_SLUG = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-')"
 
 
 @query("slugs", f"SELECT page_id, {_SLUG.format('url')} AS slug, {_SLUG.format(chr(39) + 'Page ' + chr(39) + ' || page_id')} AS name FROM pages")
@@ -162,6 +163,23 @@ def _slugs(s, d):
     return p.select("page_id", text.slug(F.col("url")).alias("slug"), text.slug(F.concat(F.lit("Page "), F.col("page_id").cast("string"))).alias("name"))
 
 
+_LAST = "regexp_extract({0}, '[^/]*$')"
+
+
+@query("short_names", f"""WITH n AS (SELECT page_id, {_LAST.format('host')} AS d, lower({_LAST.format("url || CASE page_id % 3 WHEN 0 THEN '-ColQwen2.5' WHEN 1 THEN '-colpali-v1' ELSE '' END")}) AS m
+    FROM (SELECT page_id, url, split_part(url, '/', 3) || CASE page_id % 4 WHEN 0 THEN '_test_subsampled' WHEN 1 THEN '_val_subsampled_train_subsampled' ELSE '' END AS host FROM pages)),
+    k AS (SELECT page_id, {_SLUG.format("CASE WHEN d LIKE '%!_val!_subsampled!_train!_subsampled' ESCAPE '!' THEN left(d, len(d) - 32) ELSE regexp_replace(d, '_(test|val)_subsampled$', '') END")} AS dataset_name,
+        CASE WHEN contains(m, 'colqwen2') THEN 'colqwen2' WHEN contains(m, 'colpali') THEN 'colpali' ELSE {_SLUG.format('m')} END AS model_name FROM n)
+    SELECT page_id, dataset_name, model_name, 'vidore-' || dataset_name || '-' || model_name || '-limit' || page_id || '.npz' AS file_name FROM k""")
+def _short_names(s, d):
+    """Names of datasets and models for tables and files."""
+    n = F.col("page_id")
+    host = F.concat(F.split_part("url", F.lit("/"), F.lit(3)), F.when(n % 4 == 0, "_test_subsampled").when(n % 4 == 1, "_val_subsampled_train_subsampled").otherwise(""))
+    model = F.concat("url", F.when(n % 3 == 0, "-ColQwen2.5").when(n % 3 == 1, "-colpali-v1").otherwise(""))
+    p = s.read.parquet(f"{d}/pages.parquet").select("page_id", host.alias("host"), model.alias("model"))
+    return p.select("page_id", text.dataset_name(F.col("host")).alias("dataset_name"), text.model_name(F.col("model")).alias("model_name"), text.embedding_file(F.col("host"), F.col("model"), n).alias("file_name"))
+
+
 @query("scale_keys", "WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ':' || doc_id WHEN doc_id % 3 = 1 THEN source || '-limit' || doc_id ELSE source END AS name, n_chars FROM documents) SELECT doc_id, coalesce(nullif(regexp_extract(name, ':([0-9]+)$', 1), ''), nullif(regexp_extract(name, 'limit([0-9]+)', 1), ''), n_chars::VARCHAR) AS scale_key FROM n")
 def _scale_keys(s, d):
     t = s.read.parquet(f"{d}/documents.parquet")

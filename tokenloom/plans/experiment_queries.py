@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.frames import global_row_number
+from ..functions.quantiles import quantiles
 from ..operators import corpora, experiments, metrics, packing, scoring, search
 from ..sources import views
 from . import retrieval as R
@@ -129,8 +130,7 @@ def _rows(s, d):
 @query("latency_stats", "WITH t AS (SELECT event_type AS implementation, value AS ms FROM events) SELECT implementation, round(min(ms), 4) AS best, round(avg(ms), 4) AS mean, round(quantile_cont(ms, 0.5), 4) AS p50, round(quantile_cont(ms, 0.95), 4) AS p95, round(quantile_cont(ms, 0.99), 4) AS p99 FROM t GROUP BY 1")
 def _latency(s, d):
     t = s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("implementation"), F.col("value").alias("ms"))
-    p = lambda q: F.percentile("ms", F.lit(q))
-    out = t.groupBy("implementation").agg(F.min("ms").alias("best"), F.avg("ms").alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    out = t.groupBy("implementation").agg(F.min("ms").alias("best"), F.avg("ms").alias("mean")).join(quantiles(t, F.col("ms"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ("implementation",)), "implementation")
     return out.select("implementation", *(F.round(c, 4).alias(c) for c in ("best", "mean", "p50", "p95", "p99")))
 
 
@@ -143,6 +143,40 @@ def _gates(s, d):
     return experiments.gates(r, "view", 1.01).withColumn("worst_ratio", F.round("worst_ratio", 6))
 
 
+_STEPS = "WITH r AS (SELECT event_type AS implementation, user_id % 5 AS step, round(avg(value), 9) AS value FROM events GROUP BY ALL)"
+
+
+def _by_step(s, d, name="step", parts=5):
+    return s.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("implementation"), (F.col("user_id") % parts).alias(name)).agg(F.round(F.avg("value"), 9).alias("value"))
+
+
+@query("monotone_gate", f"{_STEPS}, c AS (SELECT implementation, value - lag(value) OVER (PARTITION BY implementation ORDER BY step) AS change FROM r) SELECT implementation, coalesce(min(change), 0) >= 0 AS passed, round(min(change), 6) AS worst_step FROM c GROUP BY 1")
+def _monotone(s, d):
+    return experiments.monotone(_by_step(s, d)).withColumn("worst_step", F.round("worst_step", 6))
+
+
+@query("regret_gate", "WITH r AS (SELECT event_type AS implementation, user_id % 7 AS dataset, round(avg(value), 9) AS value FROM events GROUP BY ALL) SELECT dataset, arg_min(implementation, value) AS best_route, round(max(value) FILTER (implementation = 'view') / min(value) - 1, 6) AS regret, coalesce(max(value) FILTER (implementation = 'view') / min(value) - 1 <= 0.05, false) AS passed FROM r GROUP BY 1")
+def _regret(s, d):
+    return experiments.regret(_by_step(s, d, "dataset", 7), F.col("implementation") == "view").withColumn("regret", F.round("regret", 6))
+
+
+@query("stage_gate", "SELECT count(*) AS results, coalesce(bool_and(quality >= 0 AND isfinite(doc_id::DOUBLE)), false) AS passed FROM labels WHERE doc_id % 2 = 0")
+def _stage(s, d):
+    rows = s.read.parquet(f"{d}/labels.parquet").select(F.when(F.col("doc_id") % 2 == 0, "smoke").otherwise("full").alias("stage"), (F.col("quality") >= 0).alias("passed"), F.col("doc_id").cast("double").alias("latency"), F.lit(None).cast("double").alias("metric"))
+    return experiments.stage_gate(rows, "smoke")
+
+
+_SCALES = """WITH r AS (SELECT event_type AS implementation, user_id % 5 AS dataset, (user_id % 2)::VARCHAR AS scale, round(avg(value), 9) AS value FROM events GROUP BY ALL), b AS (SELECT r.*, value - (SELECT any_value(value) FROM r x WHERE x.implementation = 'view' AND x.dataset = r.dataset AND x.scale = r.scale) AS delta FROM r),
+    a AS (SELECT scale, implementation, count(value) AS datasets, avg(value) AS mean, quantile_cont(value, 0.5) AS median, coalesce(exp(avg(ln(CASE WHEN value > 0 THEN value END))), 0) AS geomean, avg(delta) AS delta FROM b GROUP BY GROUPING SETS ((implementation), (scale, implementation)))
+    SELECT coalesce(scale, 'all') AS scale, implementation, datasets, round(mean, 6) AS mean, round(median, 6) AS median, round(geomean, 6) AS geomean, round(delta, 6) AS delta, row_number() OVER (PARTITION BY scale ORDER BY round(mean, 6) DESC, implementation) AS place FROM a"""
+
+
+@query("multi_dataset_scales", _SCALES)
+def _by_scale(s, d):
+    rows = s.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("implementation"), (F.col("user_id") % 5).alias("dataset"), (F.col("user_id") % 2).cast("string").alias("scale")).agg(F.round(F.avg("value"), 9).alias("value"))
+    return metrics.across_scales(rows, "view", 6)
+
+
 @query("sign_test", "WITH x AS (SELECT source, count(*) FILTER (n_chars > 2000) AS w, count(*) FILTER (n_chars <= 2000) AS l FROM documents GROUP BY source), t AS (SELECT source, w, l, i FROM x, range(0, 200000) g(i) WHERE i <= least(w, l)) SELECT source, any_value(w) AS wins, any_value(l) AS losses, round(least(1.0, 2 * sum(exp(lgamma(w + l + 1.0) - lgamma(i + 1.0) - lgamma(w + l - i + 1.0) - (w + l) * ln(2)))), 6) AS p FROM t GROUP BY source")
 def _sign(s, d):
     """Exact two-sided sign test of wins and losses by group (here: long and short documents of a source)."""

@@ -472,13 +472,17 @@ def test_pipeline_against_brute_force(spark):
     for i in sorted(kept):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i] or ""), i)
     kept = {i: kept[i] for i in first.values()}
-    marks, left = {i: simhash.wide_fingerprint(t) for i, t in kept.items()}, {}
-    most = simhash.widest(simhash.SIMILARITY)
-    halves = {i: m.view(np.uint32) for i, m in marks.items()}
+    left = {}
+
+    def shingles(text):
+        parts = text.encode().lower().split()
+        return {tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))}
+
+    sets = {i: shingles(t or "") for i, t in kept.items()}
 
     def alike(a, b):
-        met = (np.bitwise_count(halves[a] ^ halves[b]) <= simhash.SKETCH_RADIUS).any()
-        return met and np.bitwise_count(marks[a] ^ marks[b]).sum() <= most
+        both = len(sets[a] & sets[b])
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
 
     for i in sorted(kept):
         todo, seen = [i], set()

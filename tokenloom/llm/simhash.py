@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import bounded_batches, cut, join_groups, names, quoted, table, without_dropped
+from ._util import bounded_batches, cut, join_groups, may_hold, names, quoted, table, without_dropped
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -287,14 +287,17 @@ WIDE_SHARD_POINTS = 262_144
 SKETCH_RADIUS = 2
 
 
-def widest(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Differing bits of wide fingerprints at a Jaccard similarity, and one standard deviation more.
+#: Standard deviations under which a distance is sure to be of texts alike, and over which it is not.
+SURE, DOUBT = 3.0, 2.5
 
-    The cosine of sets of a size is 2J / (1 + J). Without the margin half of the texts right at the
-    similarity would be lost to chance.
+
+def widest(similarity: float, deviations: float, words: int = WIDE_WORDS) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity, and so many standard deviations more.
+
+    The cosine of sets of a size is 2J / (1 + J).
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+    return int(64 * words * share + deviations * math.sqrt(64 * words * share * (1 - share)))
 
 
 def wide_fingerprint(text: str | None, words: int = WIDE_SHINGLE, count: int = WIDE_WORDS) -> np.ndarray:
@@ -333,16 +336,17 @@ def wide_fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
 PAIRS = 131_072
 
 
-def agree(wide: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
-    """Whether the wide fingerprints (one row a word) of two lists of points differ in ``most`` bits at most."""
-    differing = np.zeros(len(u), np.int16)
+def differing(wide: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Differing bits of the wide fingerprints (one row a word) of two lists of points."""
+    out = np.zeros(len(u), np.int16)
     for word in wide:
-        differing += np.bitwise_count(word[u] ^ word[v])
-    return differing <= most
+        out += np.bitwise_count(word[u] ^ word[v])
+    return out
 
 
-def linked(forest: Forest, wide: np.ndarray, marks: np.ndarray, q: np.ndarray, m: np.ndarray, most: int) -> None:
-    """Link what agrees among all of q with all of m, without looking at pairs that are together already.
+def linked(forest: Forest, wide: np.ndarray, marks: np.ndarray, q: np.ndarray, m: np.ndarray, sure: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Link what is surely alike among all of q with all of m, without looking at pairs that are together already;
+    give the pairs in doubt and their bits.
 
     A large group of near copies is soon one set: then only what is not in it is compared.
     """
@@ -350,7 +354,7 @@ def linked(forest: Forest, wide: np.ndarray, marks: np.ndarray, q: np.ndarray, m
     if len(q) * len(m) > PAIRS:
         for side in (q, m):
             pivot = np.full(len(side), m[0])
-            near = (distance(marks[side], marks[pivot]) <= SKETCH_RADIUS) & agree(wide, side, pivot, most)
+            near = (distance(marks[side], marks[pivot]) <= SKETCH_RADIUS) & (differing(wide, side, pivot) <= sure)
             forest.link(side[near], pivot[near])
         root = forest.roots(m[:1])[0]
         q_in, m_in = forest.roots(q) == root, forest.roots(m) == root
@@ -365,15 +369,43 @@ def linked(forest: Forest, wide: np.ndarray, marks: np.ndarray, q: np.ndarray, m
                 u, v = x[i], y[j]
                 apart = forest.roots(u) != forest.roots(v)
                 u, v = u[apart], v[apart]
-                near = agree(wide, u, v, most)
-                forest.link(u[near], v[near])
+                bits = differing(wide, u, v)
+                forest.link(u[bits <= sure], v[bits <= sure])
+                doubt = (bits > sure) & (bits <= most)
+                if doubt.any():
+                    yield u[doubt], v[doubt], bits[doubt]
+
+
+def closest(forest: Forest, u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs between sets of ``forest``, a minimum spanning forest by bits: each set takes its closest pair, over and over."""
+    order = np.argsort(bits, kind="stable")
+    u, v, bits = u[order], v[order], bits[order]
+    sets, left, kept = Forest(0), np.arange(len(u)), []
+    sets.up = forest.up.copy()
+    while True:
+        a, b = sets.roots(u[left]), sets.roots(v[left])
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            break
+        best = np.full(len(sets.up), len(u))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        chosen = np.unique(best[best < len(u)])
+        kept.append(chosen)
+        sets.link(u[chosen], v[chosen])
+    at = np.concatenate(kept) if kept else np.zeros(0, int)
+    return u[at], v[at], bits[at]
 
 
 def wide_links(points: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between numbered points (mark, wide) whose sketches meet and whose wide fingerprints agree."""
+    """Links (u, v, sure) between numbered points (mark, wide) whose sketches meet and whose wide fingerprints agree.
+
+    Each shard leaves a spanning forest of what is surely alike, and of what is in doubt the closest pairs
+    that would join its sets: never more rows than points.
+    """
     spark, n = points.sparkSession, points.count()
     leaves = max(1, min(SAMPLE_POINTS // 16, math.ceil(n / WIDE_SHARD_POINTS)))
-    most, tables = widest(similarity), 2 * WIDE_WORDS
+    sure, most, tables = widest(similarity, -SURE), widest(similarity, DOUBT), 2 * WIDE_WORDS
 
     def sketch(wide: np.ndarray, table: int) -> np.ndarray:
         word = wide[:, table // 2]
@@ -400,14 +432,65 @@ def wide_links(points: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         mark, own = frame["mark"].to_numpy(np.int64), int(frame["own"].sum())
         marks = sketch(wide.T, int(frame["part"].iloc[0]) % tables)
         forest = Forest(len(mark))
+        found, size = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int16))], 0
         for m, q in close_leaves(marks[:own], marks, SKETCH_RADIUS):
-            linked(forest, wide, marks, q, m, most)
+            for pairs in linked(forest, wide, marks, q, m, sure, most):
+                found.append(pairs)
+                size += len(pairs[0])
+                if size > 8 * PAIRS:  # what is not of the spanning forest so far is not of the last one
+                    found, size = [closest(forest, *map(np.concatenate, zip(*found, strict=True)))], 0
+        u, v, _ = closest(forest, *map(np.concatenate, zip(*found, strict=True)))
         root = forest.roots(np.arange(len(mark)))
         moved = root != np.arange(len(mark))
-        return pd.DataFrame({"u": mark[moved], "v": mark[root[moved]]})
+        out = pd.DataFrame({"u": np.r_[mark[moved], mark[u]], "v": np.r_[mark[root[moved]], mark[v]]})
+        return out.assign(sure=np.arange(len(out)) < moved.sum())
 
     dealt = points.select("mark", "wide").mapInArrow(deal, ", ".join(["part int", "own boolean", "mark long", *(f"w{i} long" for i in range(WIDE_WORDS))]))
-    return dealt.groupBy("part").applyInPandas(search, "u long, v long")
+    return dealt.groupBy("part").applyInPandas(search, "u long, v long, sure boolean")
+
+
+def shingle_sets(df: DataFrame, text_col: str = "text", out_col: str = "shingles") -> DataFrame:
+    """``df`` with the text replaced by the hashes of its different shingles (array of signed longs). Map-only."""
+    keep = [c for c in df.columns if c != text_col]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out_col, T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py() or "", WIDE_SHINGLE)])).view(np.int64) for t in rows.column(text_col)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=schema.names)
+
+    return bounded_batches(df).mapInArrow(run, schema)
+
+
+#: Ways that the pairs of a point are dealt to if it is in over a 4096th of all of them.
+HUB_WAYS = 64
+
+
+def alike(pairs: DataFrame, keyed: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v; materialised marks) whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Only texts that are in doubt are shuffled, one for each mark, as hashes of their shingles.
+    """
+    marks = pairs.select(F.col("u").alias("mark")).union(pairs.select(F.col("v").alias("mark"))).distinct()
+    text_of = cut(marked.join(marks, "mark", "left_semi").groupBy("mark").agg(F.min("text_key").alias("text_key")))
+    texts = may_hold(keyed.select("text_key", "text"), F.xxhash64("text_key"), cut(text_of.select(F.xxhash64("text_key").alias("h"))), "_maybe").filter("_maybe").drop("_maybe")
+    sets = shingle_sets(texts).groupBy("text_key").agg(F.first("shingles").alias("shingles"))
+    sets = cut(text_of.join(sets, "text_key").select("mark", "shingles"))
+    most = max(1, pairs.count() // 4096)
+    for side in ("u", "v"):
+        hubs = F.broadcast(cut(pairs.groupBy(side).count().filter(F.col("count") > most).select(F.col(side).alias("hub"))))  # fewer than 4096 rows
+        other = "v" if side == "u" else "u"
+        way = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64(other), F.lit(HUB_WAYS))).otherwise(0)
+        dealt = pairs.join(hubs, F.col(side) == F.col("hub"), "left").withColumn("way", way).drop("hub")
+        ways = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(HUB_WAYS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        held = sets.join(hubs, F.col("mark") == F.col("hub"), "left").select(F.col("mark").alias(side), F.explode(ways).alias("way"), F.col("shingles").alias(f"of_{side}"))
+        pairs = dealt.withColumn("way", F.col("way").cast("long")).join(held, [side, "way"]).drop("way")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    # The set of a text without words is empty; two of those have one fingerprint, so no pair is of two.
+    return pairs.filter(both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both) - 1e-9).select("u", "v")
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -418,7 +501,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     wides = marked.select("mark", "wide")
 
     def link(points: DataFrame) -> DataFrame:
-        return wide_links(cut(wides.groupBy("mark").agg(F.first("wide").alias("wide"))), similarity)
+        found = cut(wide_links(cut(wides.groupBy("mark").agg(F.first("wide").alias("wide"))), similarity).distinct())
+        doubt = cut(found.filter("NOT sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        return found.filter("sure").select("u", "v").union(alike(doubt, keyed, marked, similarity))
 
     return grouped(marked.select("id", "text_key", "mark"), "mark", link).select(F.col("id").alias(id_col), "text_key", "component_id", "root")
 

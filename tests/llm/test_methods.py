@@ -435,6 +435,24 @@ def test_similar_texts(spark, monkeypatch):
     assert simhash.deduplicate(df).count() == 60
 
 
+def test_pairs_in_doubt_are_settled_exactly(spark):
+    """Around 0.8, with one text in all pairs, against plain sets; texts of fewer words than a shingle too."""
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base)] + [" ".join([*base[:at], *(f"x{i}.{k}" for k in range(m)), *base[at + m :]]) for i, (at, m) in enumerate((at, m) for at in range(5, 150, 12) for m in range(8, 30))] + ["a b", "", "a b c"]
+    rows = [(i, f"k{i:04}", x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:3], "mark long, text_key string, text string")
+    pairs = [(0, i) for i in range(1, len(texts))] + [(len(texts) - 3, len(texts) - 1)]
+
+    def plain(text):
+        parts = text.split()
+        return {tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))} if parts else set()
+
+    sets = [plain(x) for x in texts]
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = simhash.alike(spark.createDataFrame(pairs, "u long, v long"), df, df, 0.8).collect()
+    assert {(r.u, r.v) for r in got} == want and len(got) == len(want) and 0 < len(want) < len(pairs)
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}

@@ -196,3 +196,19 @@ def test_products_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(scoring, "PRODUCT", 40)
     assert rows(scoring.score(nested, batch)) == whole
     assert rows(search.top_k(scoring.score(nested, batch, top=3, digits=6), 3)) == best
+
+
+def test_centroid_query_transform_keeps_the_sign_of_zero(spark, tmp_path):
+    """Bit for bit as its SQL, where small negative components round to -0.0."""
+    import duckdb
+
+    from tokenloom import registry
+
+    rng = np.random.default_rng(41)
+    rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(rng.choice([-0.5, -1e-7, -0.0, 0.0, 1e-7, 0.5], (200, 8)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT * FROM ({registry.SQL['centroid_query_transform']}) ORDER BY 1, 2").fetchall()
+    got = registry.QUERIES["centroid_query_transform"](spark, str(tmp_path)).orderBy("query_idx", "q_pos").collect()
+    assert [[*map(repr, r.q)] for r in got] == [[*map(repr, r[2])] for r in want] and any("-0.0" in map(repr, r[2]) for r in want)

@@ -10,6 +10,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b.cast("double"))
 
 
+def round_signed(x: Column, digits: int) -> Column:
+    """Half away from zero; what rounds to zero keeps its sign, as in C and DuckDB. F.round alone gives 0.0 for -1e-9."""
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 def max_abs(e: Column) -> Column:
     return F.array_max(F.transform(e, F.abs))
 

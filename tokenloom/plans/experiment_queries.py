@@ -50,7 +50,7 @@ def _fitted(t):
 def _transform(s, d):
     t = views.load(s, d)
     q = t.query_tokens.crossJoin(F.broadcast(_fitted(t.doc_tokens)))
-    return q.select("query_idx", "q_pos", F.zip_with("qemb", "fit", lambda x, f: F.round(x.cast("double") * (f["pos"] - f["neg"]), 6)).alias("q"))
+    return q.select("query_idx", "q_pos", F.zip_with("qemb", "fit", lambda x, f: V.round_signed(x.cast("double") * (f["pos"] - f["neg"]), 6)).alias("q"))
 
 
 @query("centroid_restored", f"""{_FIT}{score_sql("SELECT doc_idx, [CASE WHEN x >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END for x in emb] AS e, 1.0 AS ts FROM doc_tokens", _QT).replace(f', {R.DIGITS}) AS score', ', 12) AS score')},

@@ -453,6 +453,46 @@ def test_pairs_in_doubt_are_settled_exactly(spark):
     assert {(r.u, r.v) for r in got} == want and len(got) == len(want) and 0 < len(want) < len(pairs)
 
 
+def test_similar_texts_around_the_threshold(spark, monkeypatch):
+    """Every pair at 0.8 or more ends in one group and no other, against plain sets: pairs alone, and a family without any group so far."""
+    rng = np.random.default_rng(29)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+
+    def edited(base, m):
+        at = int(rng.integers(5, len(base) - m - 5))
+        return [*base[:at], *(word() for _ in range(m)), *base[at + m :]]
+
+    def plain(parts):
+        return {tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))} if parts else set()
+
+    texts = []
+    for g in range(120):
+        base = [word() for _ in range(204)]
+        texts += [base, edited(base, 16 + g % 5)]  # 0.82 to 0.79
+    sets = [plain(t) for t in texts]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    alike = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 240, 2)]
+    assert [got[2 * g] == got[2 * g + 1] for g in range(120)] == alike and 60 < sum(alike) < 120
+    assert len(set(got.values())) == 240 - sum(alike)
+
+    monkeypatch.setattr(simhash, "MEET", 8)
+    monkeypatch.setattr(simhash, "COMMON", 50)
+    base = [word() for _ in range(204)]
+    texts = [base, [], base[:3], base[:3]] + [edited(base, m) for m in range(1, 20) for _ in range(3)]
+    sets = [plain(t) for t in texts]
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    keyed = spark.createDataFrame([(i, f"k{i:03}", " ".join(t)) for i, t in enumerate(texts)], "id long, text_key string, text string")
+    rare = simhash.cut(simhash.sketches(keyed, 0.8).withColumn("mark", F.col("id")))
+    first = {r.of: r.id for r in rare.orderBy(F.desc("id")).collect()}
+    for roots in ([], [(i, 4) for i in range(4, 40)]):
+        pairs = simhash.cut(simhash.left_apart(rare.select("mark", "of", "size", "rare"), spark.createDataFrame(roots, "node long, root long"), 0.8))
+        out = simhash.alike(pairs, keyed, rare.select(F.col("of").alias("mark"), "text_key"), 0.8).collect()
+        found = {frozenset((first[r.u], first[r.v])) for r in out}
+        known = dict(roots)
+        assert found == {frozenset(p) for p in map(tuple, want) if len({known.get(i, i) for i in p}) > 1 and 3 not in p} and len(out) == len(found) > 50
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}

@@ -11,7 +11,8 @@ contractions, cut by checkpoints.
 
 near_dedup() links 64-bit fingerprints of three-word shingles at two bits; similar() groups texts
 alike at a Jaccard similarity of 0.8 by five-word shingles, through wider fingerprints and a tree
-for each half word of them.
+for each half word of them. Pairs that these leave in different groups are found by their rarest
+shingles, of which alike sets share one.
 
 A distinct point has at most 2080 others within two bits, so no group makes all its pairs.
 
@@ -300,12 +301,15 @@ def widest(similarity: float, deviations: float, words: int = WIDE_WORDS) -> int
     return int(64 * words * share + deviations * math.sqrt(64 * words * share * (1 - share)))
 
 
-def wide_fingerprint(text: str | None, words: int = WIDE_SHINGLE, count: int = WIDE_WORDS) -> np.ndarray:
-    """``count`` words of fingerprint over a text's distinct shingles, each from the same hash mixed anew."""
-    blocks = list(shingle_hashes(text or "", words))
-    if not blocks:
+def shingle_set(text: str | None, words: int = WIDE_SHINGLE) -> np.ndarray:
+    """A text's different shingles by their hashes, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text or "", words)]))
+
+
+def wide_fingerprint(h: np.ndarray, count: int = WIDE_WORDS) -> np.ndarray:
+    """``count`` words of fingerprint over a set of shingle hashes, each from the same hash mixed anew."""
+    if not len(h):
         return np.zeros(count, np.uint64)
-    h = np.unique(np.concatenate(blocks))
     ones = np.zeros(64 * count, np.int64)
     steps = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 4096):
@@ -317,17 +321,55 @@ def wide_fingerprint(text: str | None, words: int = WIDE_SHINGLE, count: int = W
     return np.frombuffer(np.packbits(2 * ones > len(h)).tobytes(), ">u8").astype(np.uint64)
 
 
-def wide_fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the text replaced by ``wide`` (array of signed longs). Map-only."""
+#: Texts that frequent shingles are counted in, and frequent shingles at most. Both shape the order of shingles and decide nothing else.
+COMMON_TEXTS = 16_384
+COMMON = 262_144
+
+
+def common_shingles(df: DataFrame, text_col: str = "text", by: str = "id") -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that several of a bounded sample of the texts have, the most frequent ones."""
+    ways = max(1, math.ceil(df.count() / COMMON_TEXTS))
+    sample = df.filter(F.pmod(F.xxhash64(by), F.lit(ways)) == 0).select(text_col)
+    counts = shingle_sets(sample, text_col).select(F.explode("shingles").alias("h")).groupBy("h").count().filter("count > 1")
+    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], rows["count"].to_numpy(np.int64)[order]
+
+
+def rarest(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set in one order of all, rare ones first: so many that sets alike at the similarity share one.
+
+    Alike sets share at least similarity * len(h), so one of any len(h) - ceil(similarity * len(h)) + 1.
+    """
+    known, counts = common
+    weight = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        weight = np.where(known[at] == h, counts[at], 0)
+    return h[np.lexsort((h, weight))][: max(0, len(h) - math.ceil(similarity * len(h) - 1e-9) + 1) if len(h) else 0]
+
+
+def sketches(df: DataFrame, similarity: float, text_col: str = "text") -> DataFrame:
+    """``df`` with the text replaced by ``wide`` (array of signed longs), ``of`` (its shingle set's hash), ``size`` and ``rare`` (see rarest()). Map-only."""
     keep = [c for c in df.columns if c != text_col]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("wide", T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("wide", longs), T.StructField("of", T.LongType()), T.StructField("size", T.LongType()), T.StructField("rare", longs)])
+    common = df.sparkSession.sparkContext.broadcast(common_shingles(df, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([wide_fingerprint(t.as_py()) for t in batch.column(text_col)], np.uint64).reshape(-1, WIDE_WORDS)
-            flat = pa.array(marks.view(np.int64).ravel())
-            wide = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE_WORDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), wide], names=schema.names)
+            wide, of, size, rare = [], [], [], [np.zeros(0, np.uint64)]
+            for text in batch.column(text_col):
+                h = shingle_set(text.as_py())
+                wide.append(wide_fingerprint(h))
+                of.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                size.append(len(h))
+                rare.append(rarest(h, common.value, similarity))
+            flat = pa.array(np.array(wide, np.uint64).ravel().view(np.int64))
+            wides = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE_WORDS, dtype=np.int32)), flat)
+            rares = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in rare]).astype(np.int32)), pa.array(np.concatenate(rare).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), wides, pa.array(np.array(of, np.uint64).view(np.int64)), pa.array(size, pa.int64()), rares], names=schema.names)
 
     return bounded_batches(df).mapInArrow(run, schema)
 
@@ -458,7 +500,7 @@ def shingle_sets(df: DataFrame, text_col: str = "text", out_col: str = "shingles
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py() or "", WIDE_SHINGLE)])).view(np.int64) for t in rows.column(text_col)]
+                sets = [shingle_set(t.as_py()).view(np.int64) for t in rows.column(text_col)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=schema.names)
 
@@ -470,7 +512,7 @@ HUB_WAYS = 64
 
 
 def alike(pairs: DataFrame, keyed: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v; materialised marks) whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
+    """Those of ``pairs`` (u, v, ..; materialised marks) whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Only texts that are in doubt are shuffled, one for each mark, as hashes of their shingles.
     """
@@ -490,20 +532,58 @@ def alike(pairs: DataFrame, keyed: DataFrame, marked: DataFrame, similarity: flo
         pairs = dealt.withColumn("way", F.col("way").cast("long")).join(held, [side, "way"]).drop("way")
     both = F.size(F.array_intersect("of_u", "of_v"))
     # The set of a text without words is empty; two of those have one fingerprint, so no pair is of two.
-    return pairs.filter(both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both) - 1e-9).select("u", "v")
+    return pairs.filter(both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both) - 1e-9).drop("of_u", "of_v")
+
+
+#: Rows of a shingle that meet at a time.
+MEET = 1024
+
+
+def left_apart(rare: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v, root_u, root_v) of shingle sets in different groups that may be alike: all that are, and few others.
+
+    ``rare``: mark, of, size, rare of each text (materialised); ``roots``: node, root of the marks that have one.
+    Alike sets share one of their rarest shingles, and at the first that they share, what is left of both is enough. Of a shingle
+    only sets outside its largest group are compared with all.
+    """
+    both = rare.select(F.explode("rare").alias("sig"), "of").groupBy("sig").agg(F.min("of").alias("a"), F.max("of").alias("b"))
+    shared = cut(both.filter("a <> b").select("sig"))
+    rows = rare.select("mark", "of", "size", F.posexplode("rare").alias("at", "sig"))
+    rows = may_hold(rows, F.col("sig"), shared, "_maybe").filter("_maybe").drop("_maybe").distinct()
+    rows = cut(rows.join(roots, F.col("mark") == F.col("node"), "left").select("sig", "of", "size", "at", F.coalesce("root", "mark").alias("root")))
+    sizes = rows.groupBy("sig", "root").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("sig").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("groups > 1").drop("groups")
+    rows = cut(join_groups(rows, cut(several), "sig", "n").filter("n IS NOT NULL"))
+    ways = F.ceil(F.col("n") / MEET)
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("of", "size", "at", "root")]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way")
+    apart = rows.filter("root <> largest").select("sig", every, *side("u"))
+    all_rows = rows.select("sig", F.pmod(F.xxhash64("of"), ways).alias("way"), (F.col("root") == F.col("largest")).alias("in_largest"), *side("v"))
+    enough = F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v")) * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    met = apart.join(all_rows, ["sig", "way"]).filter((F.col("root_u") != F.col("root_v")) & (F.col("in_largest") | (F.col("of_u") < F.col("of_v"))) & enough)
+    # A pair may meet by one shingle as (u, v) and by another as (v, u).
+    swap = F.col("of_u") > F.col("of_v")
+    return met.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("of_u", "of_v", "u"), ("of_v", "of_u", "v"), ("root_u", "root_v", "root_u"), ("root_v", "root_u", "root_v")))).distinct()
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Per row: the id, text_key, component_id and root of groups alike at ``similarity`` or more (Jaccard, five words)."""
+    """Per row: the id, text_key, component_id and root of groups alike at ``similarity`` or more (Jaccard, five words).
+
+    Fingerprints find the groups; pairs of different groups that they leave out are found by rare shingles and settled by the sets.
+    """
     text = F.coalesce(quoted(text_col), F.lit(""))
     keyed = df.select(quoted(id_col).alias("id"), F.md5(text).alias("text_key"), text.alias("text"))
-    marked = cut(wide_fingerprints(keyed).withColumn("mark", F.xxhash64("wide")))
-    wides = marked.select("mark", "wide")
+    sketched = cut(sketches(keyed, similarity).withColumn("mark", F.xxhash64("wide")))
+    marked = cut(sketched.select("id", "text_key", "mark", "of"))
+    wides = sketched.select("mark", "wide")
 
     def link(points: DataFrame) -> DataFrame:
         found = cut(wide_links(cut(wides.groupBy("mark").agg(F.first("wide").alias("wide"))), similarity).distinct())
         doubt = cut(found.filter("NOT sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        return found.filter("sure").select("u", "v").union(alike(doubt, keyed, marked, similarity))
+        near = components(found.filter("sure").select("u", "v").union(alike(doubt, keyed, marked.select("mark", "text_key"), similarity)))
+        pairs = cut(left_apart(sketched.select("mark", "of", "size", "rare"), near, similarity))
+        rest = alike(pairs, keyed, marked.select(F.col("of").alias("mark"), "text_key"), similarity)
+        return near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest.select("root_u", "root_v"))
 
     return grouped(marked.select("id", "text_key", "mark"), "mark", link).select(F.col("id").alias(id_col), "text_key", "component_id", "root")
 

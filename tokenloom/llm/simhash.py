@@ -322,7 +322,7 @@ def wide_fingerprint(h: np.ndarray, count: int = WIDE_WORDS) -> np.ndarray:
 
 
 #: Texts that frequent shingles are counted in, and frequent shingles at most. Both shape the order of shingles and decide nothing else.
-COMMON_TEXTS = 16_384
+COMMON_TEXTS = 4096
 COMMON = 262_144
 
 
@@ -543,11 +543,10 @@ def left_apart(rare: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     """Pairs (u, v, root_u, root_v) of shingle sets in different groups that may be alike: all that are, and few others.
 
     ``rare``: mark, of, size, rare of each text (materialised); ``roots``: node, root of the marks that have one.
-    Alike sets share one of their rarest shingles, and at the first that they share, what is left of both is enough. Of a shingle
+    Alike sets share one of their rarest shingles, and at the first that they share, what is left of both is enough; with what is not among their rarest, so are those that they share. Of a shingle
     only sets outside its largest group are compared with all.
     """
-    both = rare.select(F.explode("rare").alias("sig"), "of").groupBy("sig").agg(F.min("of").alias("a"), F.max("of").alias("b"))
-    shared = cut(both.filter("a <> b").select("sig"))
+    shared = cut(rare.select(F.explode("rare").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"))  # by copies too
     rows = rare.select("mark", "of", "size", F.posexplode("rare").alias("at", "sig"))
     rows = may_hold(rows, F.col("sig"), shared, "_maybe").filter("_maybe").drop("_maybe").distinct()
     rows = cut(rows.join(roots, F.col("mark") == F.col("node"), "left").select("sig", "of", "size", "at", F.coalesce("root", "mark").alias("root")))
@@ -559,11 +558,15 @@ def left_apart(rare: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     every = F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way")
     apart = rows.filter("root <> largest").select("sig", every, *side("u"))
     all_rows = rows.select("sig", F.pmod(F.xxhash64("of"), ways).alias("way"), (F.col("root") == F.col("largest")).alias("in_largest"), *side("v"))
-    enough = F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v")) * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("size_u") + F.col("size_v")) - 1e-6
-    met = apart.join(all_rows, ["sig", "way"]).filter((F.col("root_u") != F.col("root_v")) & (F.col("in_largest") | (F.col("of_u") < F.col("of_v"))) & enough)
+    need = F.lit(similarity / (1 + similarity)) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    met = apart.join(all_rows, ["sig", "way"]).filter((F.col("root_u") != F.col("root_v")) & (F.col("of_u") != F.col("of_v")) & (F.col("in_largest") | (F.col("of_u") < F.col("of_v"))) & (F.least("size_u", "size_v") >= need))
+    enough = F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v")) >= need
+    # Of the shared shingles one set has all that it keeps in its rarest among those counted here, or the other has.
+    rest = F.ceil(F.lit(similarity) * F.greatest("size_u", "size_v") - 1e-9) - 1
     # A pair may meet by one shingle as (u, v) and by another as (v, u).
     swap = F.col("of_u") > F.col("of_v")
-    return met.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("of_u", "of_v", "u"), ("of_v", "of_u", "v"), ("root_u", "root_v", "root_u"), ("root_v", "root_u", "root_v")))).distinct()
+    pairs = met.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("of_u", "of_v", "u"), ("of_v", "of_u", "v"), ("root_u", "root_v", "root_u"), ("root_v", "root_u", "root_v"))), enough.alias("enough"), F.ceil(need - rest).alias("least"))
+    return pairs.groupBy("u", "v", "root_u", "root_v").agg(F.count("*").alias("n"), F.max("enough").alias("enough"), F.max("least").alias("least")).filter("enough AND n >= least").select("u", "v", "root_u", "root_v")
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -493,6 +493,21 @@ def test_similar_texts_around_the_threshold(spark, monkeypatch):
         assert found == {frozenset(p) for p in map(tuple, want) if len({known.get(i, i) for i in p}) > 1 and 3 not in p} and len(out) == len(found) > 50
 
 
+def test_shared_passages_come_last_and_texts_do_not_meet_by_them(spark, monkeypatch):
+    """A passage of four texts of 8,400 is known as shared wherever they lie, so none meet by it."""
+    word = lambda i, k: f"w{i}.{k}"
+    texts = [" ".join([word(i, k) for k in range(14)] + [f"p{i % 2100}.{k}" for k in range(7)]) for i in range(8400)]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    known, counts = simhash.common_shingles(keyed)
+    assert len(known) == 3 * 2100 and set(counts.tolist()) == {4} and np.array_equal(known, np.unique(known))
+
+    given, plain = [], simhash.beside
+    monkeypatch.setattr(simhash, "beside", lambda pairs, sets: given.append(pairs.count()) or plain(pairs, sets))
+    rare = simhash.cut(simhash.sketches(keyed, 0.8).withColumn("mark", F.col("id")))
+    none = spark.createDataFrame([], "node long, root long")
+    assert simhash.left_apart(rare.select("mark", "of", "size", "rare"), none, 0.8).count() == 0 and given == [0]
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}

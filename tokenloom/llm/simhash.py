@@ -321,20 +321,42 @@ def wide_fingerprint(h: np.ndarray, count: int = WIDE_WORDS) -> np.ndarray:
     return np.frombuffer(np.packbits(2 * ones > len(h)).tobytes(), ">u8").astype(np.uint64)
 
 
-#: Texts that frequent shingles are counted in, and frequent shingles at most. Both shape the order of shingles and decide nothing else.
-COMMON_TEXTS = 4096
+#: Shingles that repeats are counted in at a time, and frequent shingles at most. Both shape the order of shingles and decide nothing else.
+COUNTED = 2_097_152
 COMMON = 262_144
 
 
-def common_shingles(df: DataFrame, text_col: str = "text", by: str = "id") -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of shingles that several of a bounded sample of the texts have, the most frequent ones."""
-    ways = max(1, math.ceil(df.count() / COMMON_TEXTS))
-    sample = df.filter(F.pmod(F.xxhash64(by), F.lit(ways)) == 0).select(text_col)
-    counts = shingle_sets(sample, text_col).select(F.explode("shingles").alias("h")).groupBy("h").count().filter("count > 1")
-    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+def common_shingles(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that several of all texts have, the most frequent ones.
+
+    A task counts in blocks and gives what is repeated in one, so little is shuffled: of b blocks, a shingle of more than
+    about the square root of 2b texts is met twice in one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def repeated() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+
+        for batch in batches:
+            for text in batch.column(text_col):
+                held.append(shingle_set(text.as_py()))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield repeated()
+                    held, size = [], 0
+        yield repeated()
+
+    counts = cut(bounded_batches(df.select(text_col)).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    # As Arrow tables: rows of Python objects would take the driver some hundred MB.
+    levels = counts.groupBy("n").count().orderBy(F.desc("n")).toArrow()
+    fits = levels.column("n").to_numpy()[np.cumsum(levels.column("count").to_numpy()) <= COMMON]
+    rows = counts.filter(F.col("n") >= (int(fits.min()) if len(fits) else 1 << 62)).toArrow()
+    h = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], rows["count"].to_numpy(np.int64)[order]
+    return h[order], rows.column("n").to_numpy()[order]
 
 
 def rarest(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
@@ -511,6 +533,19 @@ def shingle_sets(df: DataFrame, text_col: str = "text", out_col: str = "shingles
 HUB_WAYS = 64
 
 
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (u, v, ..) with of_u and of_v, what ``sets`` (mark, shingles; one row a mark) has of both. Both are materialised."""
+    most = max(1, pairs.count() // 4096)
+    hubs = {side: F.broadcast(cut(pairs.groupBy(side).count().filter(F.col("count") > most).select(F.col(side).alias("hub")))) for side in ("u", "v")}  # fewer than 4096 rows each
+    for side, other in (("u", "v"), ("v", "u")):
+        way = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64(other), F.lit(HUB_WAYS))).otherwise(0)
+        dealt = pairs.join(hubs[side], F.col(side) == F.col("hub"), "left").withColumn("way", way).drop("hub")
+        ways = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(HUB_WAYS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        held = sets.join(hubs[side], F.col("mark") == F.col("hub"), "left").select(F.col("mark").alias(side), F.explode(ways).alias("way"), F.col("shingles").alias(f"of_{side}"))
+        pairs = dealt.withColumn("way", F.col("way").cast("long")).join(held, [side, "way"]).drop("way")
+    return pairs
+
+
 def alike(pairs: DataFrame, keyed: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (u, v, ..; materialised marks) whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
 
@@ -521,15 +556,7 @@ def alike(pairs: DataFrame, keyed: DataFrame, marked: DataFrame, similarity: flo
     texts = may_hold(keyed.select("text_key", "text"), F.xxhash64("text_key"), cut(text_of.select(F.xxhash64("text_key").alias("h"))), "_maybe").filter("_maybe").drop("_maybe")
     sets = shingle_sets(texts).groupBy("text_key").agg(F.first("shingles").alias("shingles"))
     sets = cut(text_of.join(sets, "text_key").select("mark", "shingles"))
-    most = max(1, pairs.count() // 4096)
-    for side in ("u", "v"):
-        hubs = F.broadcast(cut(pairs.groupBy(side).count().filter(F.col("count") > most).select(F.col(side).alias("hub"))))  # fewer than 4096 rows
-        other = "v" if side == "u" else "u"
-        way = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64(other), F.lit(HUB_WAYS))).otherwise(0)
-        dealt = pairs.join(hubs, F.col(side) == F.col("hub"), "left").withColumn("way", way).drop("hub")
-        ways = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(HUB_WAYS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-        held = sets.join(hubs, F.col("mark") == F.col("hub"), "left").select(F.col("mark").alias(side), F.explode(ways).alias("way"), F.col("shingles").alias(f"of_{side}"))
-        pairs = dealt.withColumn("way", F.col("way").cast("long")).join(held, [side, "way"]).drop("way")
+    pairs = beside(pairs, sets)
     both = F.size(F.array_intersect("of_u", "of_v"))
     # The set of a text without words is empty; two of those have one fingerprint, so no pair is of two.
     return pairs.filter(both >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - both) - 1e-9).drop("of_u", "of_v")
@@ -543,8 +570,9 @@ def left_apart(rare: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     """Pairs (u, v, root_u, root_v) of shingle sets in different groups that may be alike: all that are, and few others.
 
     ``rare``: mark, of, size, rare of each text (materialised); ``roots``: node, root of the marks that have one.
-    Alike sets share one of their rarest shingles, and at the first that they share, what is left of both is enough; with what is not among their rarest, so are those that they share. Of a shingle
-    only sets outside its largest group are compared with all.
+    Alike sets share one of their rarest shingles, and at the first that they share, what is left of both is enough: sets meet
+    only there. With what is not among their rarest, so are those that they share. Of a shingle only sets outside its largest
+    group are compared with all.
     """
     shared = cut(rare.select(F.explode("rare").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"))  # by copies too
     rows = rare.select("mark", "of", "size", F.posexplode("rare").alias("at", "sig"))
@@ -559,14 +587,16 @@ def left_apart(rare: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     apart = rows.filter("root <> largest").select("sig", every, *side("u"))
     all_rows = rows.select("sig", F.pmod(F.xxhash64("of"), ways).alias("way"), (F.col("root") == F.col("largest")).alias("in_largest"), *side("v"))
     need = F.lit(similarity / (1 + similarity)) * (F.col("size_u") + F.col("size_v")) - 1e-6
-    met = apart.join(all_rows, ["sig", "way"]).filter((F.col("root_u") != F.col("root_v")) & (F.col("of_u") != F.col("of_v")) & (F.col("in_largest") | (F.col("of_u") < F.col("of_v"))) & (F.least("size_u", "size_v") >= need))
     enough = F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v")) >= need
-    # Of the shared shingles one set has all that it keeps in its rarest among those counted here, or the other has.
+    met = apart.join(all_rows, ["sig", "way"]).filter((F.col("root_u") != F.col("root_v")) & (F.col("of_u") != F.col("of_v")) & (F.col("in_largest") | (F.col("of_u") < F.col("of_v"))) & enough)
+    # Of the shared shingles one set has all that it keeps in its rarest among those of both, or the other has.
     rest = F.ceil(F.lit(similarity) * F.greatest("size_u", "size_v") - 1e-9) - 1
     # A pair may meet by one shingle as (u, v) and by another as (v, u).
     swap = F.col("of_u") > F.col("of_v")
-    pairs = met.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("of_u", "of_v", "u"), ("of_v", "of_u", "v"), ("root_u", "root_v", "root_u"), ("root_v", "root_u", "root_v"))), enough.alias("enough"), F.ceil(need - rest).alias("least"))
-    return pairs.groupBy("u", "v", "root_u", "root_v").agg(F.count("*").alias("n"), F.max("enough").alias("enough"), F.max("least").alias("least")).filter("enough AND n >= least").select("u", "v", "root_u", "root_v")
+    pairs = cut(met.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("of_u", "of_v", "u"), ("of_v", "of_u", "v"), ("root_u", "root_v", "root_u"), ("root_v", "root_u", "root_v"))), F.ceil(need - rest).alias("least")).distinct())
+    marks = cut(pairs.select(F.col("u").alias("of")).union(pairs.select(F.col("v").alias("of"))).distinct())
+    kept = may_hold(rare.select("of", "rare"), F.col("of"), marks, "_maybe").filter("_maybe").groupBy(F.col("of").alias("mark")).agg(F.first("rare").alias("shingles"))
+    return beside(pairs, cut(kept)).filter(F.size(F.array_intersect("of_u", "of_v")) >= F.col("least")).select("u", "v", "root_u", "root_v")
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
